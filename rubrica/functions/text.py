@@ -9,12 +9,24 @@ from pyspark.sql import Column, functions as F
 from rubrica import dims
 
 
+def bind(value: Column, use) -> Column:
+    """`use(value)` with the value computed once, however often it is used. NULL values are passed on too."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
+def sql_literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value)
+
+
 def lookup(mapping: dict, key: Column, default=None) -> Column:
-    """A small fixed mapping as one CASE expression."""
-    out = None
-    for name, value in mapping.items():
-        out = F.when(key == name, F.lit(value)) if out is None else out.when(key == name, F.lit(value))
-    return out.otherwise(F.lit(default))
+    """A small fixed mapping, folded into one literal map."""
+    pairs = ", ".join(f"{sql_literal(k)}, {sql_literal(val)}" for k, val in mapping.items())
+    found = F.element_at(F.expr(f"map({pairs})"), key)
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def contains_any(text: Column, words: list[str]) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, functions as F
 
 from rubrica import dims
 from rubrica.functions.pointers import tokens
-from rubrica.functions.text import strip
+from rubrica.functions.text import bind, lookup, strip
 
 MAX_NESTING = 1000  # the JSON parser of Spark refuses deeper documents
 
@@ -38,7 +38,7 @@ def is_array(value: Column) -> Column:
 
 
 def is_object(value: Column) -> Column:
-    return as_map(value).isNotNull()
+    return F.try_variant_get(value, "$", "struct<>").isNotNull()
 
 
 def absent(value: Column) -> Column:
@@ -46,43 +46,43 @@ def absent(value: Column) -> Column:
     return value.isNull() | F.coalesce(F.is_variant_null(value), F.lit(True))
 
 
+KINDS = {
+    "OBJECT": "object",
+    "ARRAY": "array",
+    "STRING": "string",
+    "BIGINT": "integer",
+    "DECIMAL": "number",
+    "DOUBLE": "number",
+    "BOOLEAN": "boolean",
+    "VOID": "null",
+}
+
+
 def kind(value: Column) -> Column:
-    """object, array, string, integer, number, boolean or null."""
-    leaf = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(is_array(value), "array")
-        .when(is_object(value), "object")
-        .when(leaf == "STRING", "string")
-        .when(leaf == "BIGINT", "integer")
-        .when(leaf == "BOOLEAN", "boolean")
-        .when(leaf == "VOID", "null")
-        .otherwise("number")
-    )
+    """object, array, string, integer, number, boolean or null; SQL NULL when missing."""
+    name = F.regexp_extract(F.schema_of_variant(value), "^([A-Z]+)", 1)
+    return lookup(KINDS, name)
+
+
+def is_string(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
 
 
 def text_of(value: Column) -> Column:
     """A string as it is, anything else as JSON; NULL when missing."""
-    return F.when(kind(value) == "string", value.cast("string")).otherwise(F.to_json(value))
+    return F.coalesce(value.cast("string"), F.to_json(value))
 
 
 def string_of(value: Column) -> Column:
     """The value when it is a string, else NULL."""
-    return F.when(kind(value) == "string", value.cast("string"))
+    return F.when(is_string(value), value.cast("string"))
 
 
 def truthy_text(value: Column) -> Column:
     """Text of a value, NULL when it is missing, null, empty, zero or false."""
-    what = kind(value)
-    return (
-        F.when(what == "string", F.nullif(value.cast("string"), F.lit("")))
-        .when(what == "boolean", F.when(F.try_variant_get(value, "$", "boolean"), "true"))
-        .when(
-            what.isin("integer", "number"),
-            F.when(F.try_variant_get(value, "$", "double") != 0, value.cast("string")),
-        )
-        .when(what.isin("array", "object"), F.nullif(F.nullif(F.to_json(value), F.lit("[]")), F.lit("{}")))
-    )
+    shown = value.cast("string")
+    doubtful = shown.isin("", "0", "0.0", "-0.0", "false", "[]", "{}")
+    return F.when(~doubtful, shown).when(is_string(value), F.nullif(shown, F.lit("")))
 
 
 def first_text(value: Column, *keys: str) -> Column:
@@ -127,29 +127,23 @@ def content_text(value: Column) -> Column:
     steps = F.length(F.regexp_replace(F.to_json(value), r"[^\[,:]", "")) + 1
 
     def children(node: Column) -> Column:
-        members = as_map(node)
-        named = F.transform(F.array(*[F.lit(k) for k in dims.CONTENT_KEYS]), lambda k: F.element_at(members, k))
-        return F.coalesce(
-            as_array(node),
-            F.when(members.isNotNull(), F.array_compact(named)),
-            F.array().cast("array<variant>"),
-        )
+        named = F.array_compact(F.array(*[get(node, k) for k in dims.CONTENT_KEYS]))
+        return F.coalesce(as_array(node), named)
 
     def leaf(node: Column) -> Column:
-        what = kind(node)
-        text = F.when(what == "string", strip(node.cast("string"))).when(
-            what.isin("integer", "number", "boolean"), node.cast("string")
-        )
-        return F.array_compact(F.array(F.nullif(text, F.lit(""))))
+        shown = F.when(kind(node).isin("string", "integer", "number", "boolean"), strip(node.cast("string")))
+        return F.array_compact(F.array(F.nullif(shown, F.lit(""))))
 
     def step(state: Column, _: Column) -> Column:
-        head = F.get(state["stack"], F.lit(0))
-        rest = F.slice(state["stack"], F.lit(2), F.greatest(F.size(state["stack"]) - 1, F.lit(0)))
-        return F.when(F.size(state["stack"]) == 0, state).otherwise(
-            F.struct(
+        def pop(head: Column) -> Column:
+            rest = F.slice(state["stack"], F.lit(2), F.size(state["stack"]) - 1)
+            return F.struct(
                 F.concat(children(head), rest).alias("stack"),
                 F.concat(state["out"], leaf(head)).alias("out"),
             )
+
+        return F.when(F.size(state["stack"]) == 0, state).otherwise(
+            bind(F.get(state["stack"], F.lit(0)), pop)
         )
 
     walk = F.aggregate(
@@ -158,8 +152,11 @@ def content_text(value: Column) -> Column:
         step,
         lambda state: F.array_join(state["out"], " "),
     )
-    plain = string_of(value)
-    return F.when(absent(value), "").when(plain.isNotNull(), strip(plain)).otherwise(F.coalesce(walk, F.lit("")))
+    return (
+        F.when(absent(value), "")
+        .when(is_string(value), strip(value.cast("string")))
+        .otherwise(F.coalesce(walk, F.lit("")))
+    )
 
 
 def deep_texts(value: Column) -> Column:

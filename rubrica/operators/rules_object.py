@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rubrica import dims
 from rubrica.functions import text, variants as v
+from rubrica.functions.text import bind
 from rubrica.operators import flatten
 
 # code: (severity, category, reason, suggestion). `{}` in a reason takes the detail of the finding.
@@ -67,12 +68,12 @@ FINDING = "array<struct<rule:string,location:string,detail:string,severity:strin
 NOTHING = lambda: F.array().cast(FINDING)
 
 
-def _finding(when: Column, rule: str, location, ord_: list, detail=None, severity=None) -> Column:
+def _finding(when: Column, rule, location, ord_: list, detail=None, severity=None) -> Column:
     """One finding, or NULL where the condition does not hold."""
     return F.when(
         when,
         F.struct(
-            F.lit(rule).alias("rule"),
+            (F.lit(rule) if isinstance(rule, str) else rule).alias("rule"),
             (F.lit(location) if isinstance(location, str) else location).alias("location"),
             (F.lit(None) if detail is None else detail).cast("string").alias("detail"),
             (F.lit(None) if severity is None else severity).cast("string").alias("severity"),
@@ -101,24 +102,27 @@ def block_findings(blocks: Column, base: Column, ord_: list, require_text: bool
     def one(block: Column, i: Column) -> Column:
         here = _join(base, "/", i)
         at = [*ord_, i]
-        nested = v.is_object(block)
-        btype = v.first_text(block, "type")
-        return _list(
-            _finding(~nested, "G04", here, [*at, 0]),
-            _finding(nested & (v.first_text(block, "id") == ""), "G05", here, [*at, 1]),
-            _finding(nested & (btype == ""), "G06", here, [*at, 2]),
-            _finding(
-                nested & F.lit(require_text) & (btype == "text") & (v.first_text(block, "text") == ""),
-                "G07",
-                _join(here, "/text"),
-                [*at, 3],
-            ),
-            _finding(
-                nested & btype.isin("graph", "chart") & ~v.is_object(v.get(block, "display")),
-                "G08",
-                _join(here, "/display"),
-                [*at, 4],
-            ),
+
+        def rules(b: Column) -> Column:
+            return _list(
+                _finding(v.first_text(block, "id") == "", "G05", here, [*at, 1]),
+                _finding(b == "", "G06", here, [*at, 2]),
+                _finding(
+                    F.lit(require_text) & (b == "text") & (v.first_text(block, "text") == ""),
+                    "G07",
+                    _join(here, "/text"),
+                    [*at, 3],
+                ),
+                _finding(
+                    b.isin("graph", "chart") & ~v.is_object(v.get(block, "display")),
+                    "G08",
+                    _join(here, "/display"),
+                    [*at, 4],
+                ),
+            )
+
+        return F.when(v.is_object(block), bind(v.first_text(block, "type"), rules)).otherwise(
+            _list(_finding(F.lit(True), "G04", here, [*at, 0]))
         )
 
     listed = v.as_array(blocks)
@@ -181,19 +185,25 @@ def _named_ids(values: Column) -> Column:
 
 
 def _spec_struct(spec: Column, k: Column) -> Column:
-    found = v.nodes(spec)
-    named = lambda *keys: F.filter(found, lambda n: n["key"].isin(*keys))
-    return F.struct(
-        k.cast("int").alias("k"),
-        v.is_object(spec).alias("nested"),
-        v.first_text(spec, "interactionId").alias("ref"),
-        v.first_text(spec, "type").alias("stype"),
-        _named_ids(named("correctOptionId")).alias("one"),
-        _named_ids(named("correctOptionIds")).alias("many"),
-        F.exists(named(*dims.BOOLEAN_KEYS), lambda n: n["kind"] == "boolean").alias("says_bool"),
-        (F.size(named(*dims.VALUE_KEYS)) > 0).alias("has_value"),
-        _named_ids(named("slotId")).alias("slots"),
-    )
+    def fields(found: Column) -> Column:
+        named = lambda *keys: F.filter(found, lambda n: n["key"].isin(*keys))
+        return F.struct(
+            k.cast("int").alias("k"),
+            v.is_object(spec).alias("nested"),
+            v.first_text(spec, "interactionId").alias("ref"),
+            v.first_text(spec, "type").alias("stype"),
+            _named_ids(named("correctOptionId")).alias("one"),
+            _named_ids(named("correctOptionIds")).alias("many"),
+            F.exists(named(*dims.BOOLEAN_KEYS), lambda n: n["kind"] == "boolean").alias("says_bool"),
+            F.exists(named(*dims.VALUE_KEYS), lambda n: F.lit(True)).alias("has_value"),
+            _named_ids(named("slotId")).alias("slots"),
+        )
+
+    return bind(v.nodes(spec), fields)
+
+
+def repeats(values: Column) -> Column:
+    return F.size(values) > F.size(F.array_distinct(values))
 
 
 def repeated_ids(options: Column) -> Column:
@@ -206,17 +216,18 @@ def repeated_ids(options: Column) -> Column:
 def option_rule(options: Column) -> Column:
     """The first of G26 to G29 that a list of options breaks, or NULL."""
     blank = F.exists(options, lambda o: o["id"] == "")
+    ids = F.filter(F.transform(options, lambda o: o["id"]), lambda x: x != "")
     return (
         F.when(F.coalesce(F.size(options), F.lit(0)) <= 0, "G26")
         .when(F.size(options) < 2, "G27")
-        .when(F.size(repeated_ids(options)) > 0, "G28")
+        .when(repeats(ids), "G28")
         .when(blank, "G29")
     )
 
 
 def repeats_text(options: Column) -> Column:
     texts = F.filter(F.transform(options, lambda o: F.lower(o["text"])), lambda t: t != "")
-    return F.coalesce(F.size(texts) > F.size(F.array_distinct(texts)), F.lit(False))
+    return F.coalesce(repeats(texts), F.lit(False))
 
 
 def _interaction_findings(base: Column, item_pos: Column, repeats: Column):
@@ -243,16 +254,13 @@ def _interaction_findings(base: Column, item_pos: Column, repeats: Column):
             ),
             _finding(x["nested"] & ~x["config_ok"], "G24", _join(here, "/config"), [*at, 5]),
             _finding(x["nested"] & ~x["display_ok"], "G25", _join(here, "/display"), [*at, 6]),
-            *[
-                _finding(
-                    rule == code,
-                    code,
-                    at_options,
-                    [*at, 7],
-                    F.array_join(repeated_ids(x["options"]), ", ") if code == "G28" else None,
-                )
-                for code in ("G26", "G27", "G28", "G29")
-            ],
+            _finding(
+                rule.isNotNull(),
+                rule,
+                at_options,
+                [*at, 7],
+                F.when(rule == "G28", F.array_join(repeated_ids(x["options"]), ", ")),
+            ),
             _finding(choice & repeats_text(x["options"]), "G30", at_options, [*at, 8]),
         )
 
@@ -265,60 +273,82 @@ def _spec_findings(base: Column, item_pos: Column, inter: Column, ids: Column):
     def one(s: Column) -> Column:
         here = _join(base, "/answerSpecs/", s["k"])
         at = [F.lit(3), item_pos, F.lit(6), s["k"]]
-        known = s["nested"] & (s["ref"] != "") & F.array_contains(ids, s["ref"])
-        # The type follows the last interaction with this id, all else the first one.
-        same = F.filter(inter, lambda x: x["nested"] & (x["iid"] == s["ref"]))
-        first, itype = F.get(same, F.lit(0)), F.get(same, F.size(same) - 1)["itype"]
-        option_ids = F.filter(F.transform(first["options"], lambda o: o["id"]), lambda o: o != "")
-        single, multi = known & (itype == "single_choice"), known & (itype == "multiple_choice")
-        coordinate = known & (itype == "coordinate_input")
-        dims_kind = v.kind(first["dimensions"])
-        bad_dims = ~v.absent(first["dimensions"]) & ~(
-            (dims_kind == "integer") & (F.try_variant_get(first["dimensions"], "$", "bigint") >= 1)
-        )
 
-        def unknown(ids_: Column, against: Column, when: Column, rule: str, slot: int) -> Column:
-            missing = F.when(
-                when & (F.size(against) > 0), F.filter(ids_, lambda i: ~F.array_contains(against, i))
-            )
+        def unknown(ids_: Column, against: Column, rule: str, slot: int) -> Column:
+            missing = F.when(F.size(against) > 0, F.filter(ids_, lambda i: ~F.array_contains(against, i)))
             return _spread(
                 missing, lambda i, n: _list(_finding(F.lit(True), rule, here, [*at, F.lit(slot), n], i))
             )
 
-        return F.concat(
-            _list(
-                _finding(~s["nested"], "G32", here, [*at, 0]),
-                _finding(
-                    s["nested"] & (s["ref"] != "") & ~F.array_contains(ids, s["ref"]),
-                    "G33",
-                    _join(here, "/interactionId"),
-                    [*at, 0],
-                    s["ref"],
-                ),
-                _finding(s["nested"] & (s["ref"] == ""), "G34", _join(here, "/interactionId"), [*at, 0]),
+        def by_type(t: Column) -> Column:
+            """Rules that depend on the interaction: its type and the options, slots and dimensions it has."""
+            itype, dimensions = t["itype"], t["dimensions"]
+            bad_dimensions = ~v.absent(dimensions) & ~(
+                (v.kind(dimensions) == "integer") & (F.try_variant_get(dimensions, "$", "bigint") >= 1)
+            )
+            mismatch = _list(
                 _finding(
-                    known & (s["stype"] != "") & (itype != "") & (s["stype"] != itype),
+                    (s["stype"] != "") & (itype != "") & (s["stype"] != itype),
                     "G35",
                     _join(here, "/type"),
                     [*at, 1],
                     s["stype"],
-                ),
-                _finding(single & (F.size(s["one"]) == 0), "G36", here, [*at, 2]),
-                _finding(single & (F.size(F.array_distinct(s["one"])) > 1), "G37", here, [*at, 2]),
-                _finding(multi & (F.size(s["many"]) == 0), "G39", here, [*at, 2]),
-                _finding(
-                    multi & (F.size(s["many"]) > 0) & (F.size(F.array_distinct(s["many"])) < 2),
-                    "G40",
-                    here,
-                    [*at, 2],
-                ),
-                _finding(known & (itype == "true_false") & ~s["says_bool"], "G42", here, [*at, 4]),
-                _finding(known & (itype == "short_answer") & ~s["has_value"], "G43", here, [*at, 4]),
-                _finding(coordinate & bad_dims, "G44", _join(here, "/config/dimensions"), [*at, 4]),
-            ),
-            unknown(s["one"], option_ids, single, "G38", 3),
-            unknown(s["many"], option_ids, multi, "G41", 3),
-            unknown(s["slots"], first["slots"], coordinate, "G45", 5),
+                )
+            )
+            rules = (
+                F.when(
+                    itype == "single_choice",
+                    F.concat(
+                        _list(
+                            _finding(F.size(s["one"]) == 0, "G36", here, [*at, 2]),
+                            _finding(F.size(F.array_distinct(s["one"])) > 1, "G37", here, [*at, 2]),
+                        ),
+                        unknown(s["one"], t["option_ids"], "G38", 3),
+                    ),
+                )
+                .when(
+                    itype == "multiple_choice",
+                    F.concat(
+                        _list(
+                            _finding(F.size(s["many"]) == 0, "G39", here, [*at, 2]),
+                            _finding(F.size(F.array_distinct(s["many"])) == 1, "G40", here, [*at, 2]),
+                        ),
+                        unknown(s["many"], t["option_ids"], "G41", 3),
+                    ),
+                )
+                .when(itype == "true_false", _list(_finding(~s["says_bool"], "G42", here, [*at, 4])))
+                .when(itype == "short_answer", _list(_finding(~s["has_value"], "G43", here, [*at, 4])))
+                .when(
+                    itype == "coordinate_input",
+                    F.concat(
+                        _list(_finding(bad_dimensions, "G44", _join(here, "/config/dimensions"), [*at, 4])),
+                        unknown(s["slots"], t["slots"], "G45", 5),
+                    ),
+                )
+                .otherwise(NOTHING())
+            )
+            return F.concat(mismatch, rules)
+
+        def target(same: Column) -> Column:
+            """The type follows the last interaction with the id, all else the first one."""
+            first = F.get(same, F.lit(0))
+            ids_ = F.filter(F.transform(first["options"], lambda o: o["id"]), lambda o: o != "")
+            return F.struct(
+                F.get(same, F.size(same) - 1)["itype"].alias("itype"),
+                first["dimensions"].alias("dimensions"),
+                first["slots"].alias("slots"),
+                ids_.alias("option_ids"),
+            )
+
+        same = F.filter(inter, lambda x: x["nested"] & (x["iid"] == s["ref"]))
+        return (
+            F.when(~s["nested"], _list(_finding(F.lit(True), "G32", here, [*at, 0])))
+            .when(s["ref"] == "", _list(_finding(F.lit(True), "G34", _join(here, "/interactionId"), [*at, 0])))
+            .when(
+                ~F.array_contains(ids, s["ref"]),
+                _list(_finding(F.lit(True), "G33", _join(here, "/interactionId"), [*at, 0], s["ref"])),
+            )
+            .otherwise(bind(bind(same, target), by_type))
         )
 
     return one
@@ -430,6 +460,7 @@ def check_object(docs: DataFrame) -> DataFrame:
         )
     )
     owned_col = F.col("owned")
+    graded_col, refs_col = F.col("graded"), F.col("refs")
     graded = (F.size("specs") > 0) | F.col("doc_rubric") | _has_rubric(item) | F.col("has_solution")
     refs = F.transform(F.filter(specs, lambda s: s["nested"]), lambda s: s["ref"])
 
@@ -441,7 +472,7 @@ def check_object(docs: DataFrame) -> DataFrame:
         itype = last_type(iid)
         return _list(
             _finding(
-                ~F.array_contains(refs, iid) & ~((itype == "essay") & graded),
+                ~F.array_contains(refs_col, iid) & ~((itype == "essay") & graded_col),
                 "G31",
                 _join(base, "/answerSpecs"),
                 [F.lit(3), pos, F.lit(5), n],
@@ -457,7 +488,7 @@ def check_object(docs: DataFrame) -> DataFrame:
         at = [F.lit(3), pos, F.lit(7), x["j"]]
         return _list(
             _finding(essay & short_stem, "G46", _join(base, "/stem"), [*at, 0]),
-            _finding(essay & ~graded, "G47", _join(base, "/interactions/", x["j"]), [*at, 1]),
+            _finding(essay & ~graded_col, "G47", _join(base, "/interactions/", x["j"]), [*at, 1]),
         )
 
     hints, stem = v.get(item, "hints"), v.get(item, "stem")
@@ -488,16 +519,18 @@ def check_object(docs: DataFrame) -> DataFrame:
         .when(~v.is_object(item), _list(_finding(F.lit(True), "G13", base, [F.lit(3), pos])))
         .otherwise(F.concat(top, lower))
     )
-    listed_findings = typed.withColumn("owned", owned).select("doc_id", F.explode(found).alias("f"))
+    listed_findings = typed.withColumns({"owned": owned, "refs": refs, "graded": graded}).select(
+        "doc_id", F.explode(found).alias("f")
+    )
     return as_issues(listed_findings.select("doc_id", "f.*"))
 
 
-def as_issues(findings: DataFrame) -> DataFrame:
+def as_issues(findings: DataFrame, rules: dict = RULES) -> DataFrame:
     """Findings (rule, location, detail, severity, ord) with the texts and grades of their rules."""
     rule = F.col("rule")
 
     def of(i: int) -> Column:
-        return text.lookup({code: r[i] for code, r in RULES.items()}, rule)
+        return text.lookup({code: r[i] for code, r in rules.items()}, rule)
 
     keep = [c for c in findings.columns if c not in ("rule", "severity", "location", "detail", "ord")]
     return findings.select(

@@ -152,3 +152,13 @@ def repair_request(selected: DataFrame) -> DataFrame:
     scoped = selected.withColumn("repair_intent", intent).filter(intent.isin(dims.SCOPED_INTENTS))
     tier = F.when(F.col("repair_intent") == "fix_schema", "fast").otherwise("strong")
     return repair_context(scoped).withColumns({"stage": F.lit("repair"), "model_tier": tier})
+
+
+def planned_type(plan: Column, item_pos: Column, inter_pos: Column) -> Column:
+    """The type a plan object foresees for an item, counted over all questions, and one of its interactions."""
+    questions = F.filter(v.elements(F.when(v.is_object(plan), v.get(plan, "plan"))), v.is_object)
+    items = F.flatten(
+        F.transform(questions, lambda q: F.filter(v.elements(v.get(q, "questionItems")), v.is_object))
+    )
+    inter = F.get(v.elements(v.get(F.get(items, item_pos), "interactions")), inter_pos)
+    return v.truthy_text(v.get(inter, "interactionType"))

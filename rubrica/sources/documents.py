@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rubrica.functions import variants as v
 from rubrica.operators.flatten import document_id
 
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

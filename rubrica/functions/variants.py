@@ -121,36 +121,36 @@ def options_of(interaction: Column) -> Column:
 def content_text(value: Column) -> Column:
     """All display text of a value in reading order, joined by blanks.
 
-    The walk keeps a stack of values still to read. A tree has fewer nodes than its JSON has brackets, commas
-    and colons, which bounds the number of steps exactly.
+    Every list or object is replaced in place by its members until only texts are left. The nesting of a tree is not
+    more than the brackets of its JSON, which bounds the rounds exactly.
     """
-    steps = F.length(F.regexp_replace(F.to_json(value), r"[^\[,:]", "")) + 1
-
-    def children(node: Column) -> Column:
-        named = F.array_compact(F.array(*[get(node, k) for k in dims.CONTENT_KEYS]))
-        return F.coalesce(as_array(node), named)
-
-    def leaf(node: Column) -> Column:
-        shown = F.when(kind(node).isin("string", "integer", "number", "boolean"), strip(node.cast("string")))
-        return F.array_compact(F.array(F.nullif(shown, F.lit(""))))
-
-    def step(state: Column, _: Column) -> Column:
-        def pop(head: Column) -> Column:
-            rest = F.slice(state["stack"], F.lit(2), F.size(state["stack"]) - 1)
-            return F.struct(
-                F.concat(children(head), rest).alias("stack"),
-                F.concat(state["out"], leaf(head)).alias("out"),
-            )
-
-        return F.when(F.size(state["stack"]) == 0, state).otherwise(
-            bind(F.get(state["stack"], F.lit(0)), pop)
+    # An entry is read once it has a text; its type must allow that from the start, so the first one has none.
+    rounds = F.length(F.regexp_replace(F.to_json(value), r"[^\[{]", "")) + 1
+    no_node, no_text = F.lit(None).cast("variant"), F.lit(None).cast("string")
+
+    def entry(node: Column, text: Column) -> Column:
+        return F.struct(node.alias("node"), text.alias("text"))
+
+    def unread(nodes_: Column) -> Column:
+        return F.transform(nodes_, lambda n: entry(n, no_text))
+
+    def expand(e: Column) -> Column:
+        node = e["node"]
+        members = F.array_compact(F.array(*[get(node, k) for k in dims.CONTENT_KEYS]))
+        text = F.nullif(strip(node.cast("string")), F.lit(""))
+        leaf = F.filter(F.array(entry(no_node, text)), lambda x: x["text"].isNotNull())
+        return F.when(e["text"].isNotNull(), F.array(e)).otherwise(
+            F.coalesce(unread(as_array(node)), F.when(is_object(node), unread(members)), leaf)
         )
 
+    def open_(entries: Column) -> Column:
+        return F.exists(entries, lambda e: e["text"].isNull())
+
     walk = F.aggregate(
-        F.sequence(F.lit(1), steps),
-        F.struct(F.array(value).alias("stack"), F.array().cast("array<string>").alias("out")),
-        step,
-        lambda state: F.array_join(state["out"], " "),
+        F.sequence(F.lit(1), rounds),
+        F.array(entry(value, no_text)),
+        lambda entries, _: F.when(open_(entries), F.flatten(F.transform(entries, expand))).otherwise(entries),
+        lambda entries: F.array_join(F.transform(entries, lambda e: e["text"]), " "),
     )
     return (
         F.when(absent(value), "")

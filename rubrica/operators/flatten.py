@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rubrica.functions import variants as v
+from rubrica.functions.expressions import built_once
 from rubrica.functions.text import strip
 
 
@@ -171,8 +172,10 @@ def _text_blocks(blocks: Column, base: Column, role: Column, itype: Column) -> C
 NO_NODES = "array<struct<pointer:string,role:string,itype:string,text:string>>"
 
 
-def text_nodes_of(doc: Column) -> Column:
-    """All text-bearing blocks of a document as an array, in reading order."""
+@built_once
+def text_nodes_of(column: str) -> Column:
+    """All text-bearing blocks of the document in a column as an array, in reading order."""
+    doc = F.col(column)
     none = F.lit("")
 
     def at(base: Column, name: str, i: Column, tail: str = "") -> Column:
@@ -226,7 +229,7 @@ def text_nodes_of(doc: Column) -> Column:
 
 
 def text_nodes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(text_nodes_of(F.col("doc"))).alias("pos", "n")).select(
+    return docs.select("doc_id", F.posexplode(text_nodes_of("doc")).alias("pos", "n")).select(
         "doc_id", "pos", "n.pointer", "n.role", "n.itype", "n.text"
     )
 

@@ -191,7 +191,7 @@ def guard_repaired_text(repaired: DataFrame) -> DataFrame:
 
     Old and new text nodes are compared as sets inside the row; only changed nodes are exploded.
     """
-    changed = F.array_except(flatten.text_nodes_of(F.col("new_doc")), flatten.text_nodes_of(F.col("doc")))
+    changed = F.array_except(flatten.text_nodes_of("new_doc"), flatten.text_nodes_of("doc"))
     nodes = repaired.filter(F.col("new_doc").isNotNull()).select("doc_id", F.explode(changed).alias("n"))
     hits = hygiene.text_hygiene(nodes.select("doc_id", "n.*"))
     rejected = hits.groupBy("doc_id").agg(F.count("*").alias("n_text_issues"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rubrica import dims
 from rubrica.functions import text, variants as v
+from rubrica.functions.expressions import built_once
 from rubrica.functions.text import bind
 from rubrica.operators import flatten
 
@@ -354,49 +355,37 @@ def _spec_findings(base: Column, item_pos: Column, inter: Column, ids: Column):
     return one
 
 
-def check_object(docs: DataFrame) -> DataFrame:
-    """All structural issues of each document (doc_id, doc VARIANT [, index]), in document order by `ord`."""
+@built_once
+def _stages() -> dict[str, object]:
+    """The expressions of `check_object`, by the step that uses them."""
     doc = F.col("doc")
-    index = F.col("index") if "index" in docs.columns else F.lit(0)
     listed = v.elements(v.get(doc, "questionItems"))
 
-    # The n-th use of an id in a document, as a map from "item/interaction" to whether it came before.
+    # Every use of an interaction id in a document, as its place "item/interaction" and the id.
     places = F.flatten(
         F.transform(
             listed,
-            lambda item, i: F.transform(
-                F.filter(
-                    F.transform(
-                        v.elements(v.get(item, "interactions")),
-                        lambda x, j: F.struct(
-                            _join(i, "/", j).alias("place"), v.first_text(x, "id", "_id", "interactionId").alias("iid")
-                        ),
+            lambda item, i: F.filter(
+                F.transform(
+                    v.elements(v.get(item, "interactions")),
+                    lambda x, j: F.struct(
+                        _join(i, "/", j).alias("place"), v.first_text(x, "id", "_id", "interactionId").alias("iid")
                     ),
-                    lambda p: p["iid"] != "",
                 ),
-                lambda p: p,
+                lambda p: p["iid"] != "",
             ),
         )
     )
-    prepared = docs.select(
-        "doc_id",
-        "doc",
-        index.alias("index"),
-        listed.alias("items"),
-        v.elements(v.get(doc, "answerSpecs")).alias("doc_specs"),
-        (v.truthy_text(v.get(doc, "solutions")).isNotNull()).alias("has_solution"),
-        _has_rubric(doc).alias("doc_rubric"),
-        F.coalesce(places, F.array().cast("array<struct<place:string,iid:string>>")).alias("places"),
-    )
+    prepared = {
+        "items": listed,
+        "doc_specs": v.elements(v.get(doc, "answerSpecs")),
+        "has_solution": v.truthy_text(v.get(doc, "solutions")).isNotNull(),
+        "doc_rubric": _has_rubric(doc),
+        "places": F.coalesce(places, F.array().cast("array<struct<place:string,iid:string>>")),
+    }
     ids = F.transform(F.col("places"), lambda p: p["iid"])
-    marked = prepared.withColumn(
-        "repeats",
-        F.map_from_entries(
-            F.transform(
-                F.col("places"),
-                lambda p, n: F.struct(p["place"], F.array_position(ids, p["iid"]) < n + 1),
-            )
-        ),
+    repeats_map = F.map_from_entries(
+        F.transform(F.col("places"), lambda p, n: F.struct(p["place"], F.array_position(ids, p["iid"]) < n + 1))
     )
     instruction = v.get(doc, "instruction")
     no_items = F.size("items") == 0
@@ -412,67 +401,42 @@ def check_object(docs: DataFrame) -> DataFrame:
             _finding(no_items & v.absent(instruction), "G12", "", [2, 1]),
         ),
     )
-    not_object = _list(
-        _finding(~v.is_object(doc), "G01", _join("/item/", F.col("index")), [0])
-    )
-    of_document = marked.select(
-        "doc_id",
-        F.when(v.is_object(doc), document_findings).otherwise(not_object).alias("found"),
-        F.lit(-1).alias("item_pos"),
-        F.lit(None).cast("variant").alias("item"),
-        "doc_specs",
-        "has_solution",
-        "doc_rubric",
-        "repeats",
-        "items",
-    )
-    # One row per item, plus one for the document itself, so that a document is read once.
-    spread = of_document.select(
-        "doc_id",
-        "found",
-        "doc_specs",
-        "has_solution",
-        "doc_rubric",
-        "repeats",
-        F.posexplode(F.concat(F.array(F.to_variant_object(F.array(F.lit(0)))), F.col("items"))).alias("slot", "item"),
-    )
-    per_item = spread.withColumn("item_pos", F.col("slot") - 1)
+    not_object = _list(_finding(~v.is_object(doc), "G01", _join("/item/", F.col("index")), [0]))
+    of_document = F.when(v.is_object(doc), document_findings).otherwise(not_object)
+
+    # The document itself takes slot 0 of its items, so that everything is one generator over one scan.
+    slots = F.concat(F.array(F.to_variant_object(F.array(F.lit(0)))), F.col("items"))
     item, pos = F.col("item"), F.col("item_pos")
     base = _join("/questionItems/", pos)
-    typed = per_item.withColumns(
-        {
-            "inter": F.transform(v.elements(v.get(item, "interactions")), _interaction_struct),
-            "specs": F.transform(
-                F.concat(v.elements(v.get(item, "answerSpecs")), F.col("doc_specs")), _spec_struct
-            ),
-        }
-    )
-    inter, specs, repeats = F.col("inter"), F.col("specs"), F.col("repeats")
-    owned = F.array_distinct(
-        F.transform(
-            F.filter(
-                inter,
-                lambda x: x["nested"]
-                & (x["iid"] != "")
-                & ~F.coalesce(F.element_at(repeats, _join(pos, "/", x["j"])), F.lit(False)),
-            ),
-            lambda x: x["iid"],
-        )
+    typed = {
+        "inter": F.transform(v.elements(v.get(item, "interactions")), _interaction_struct),
+        "specs": F.transform(
+            F.concat(v.elements(v.get(item, "answerSpecs")), F.col("doc_specs")), _spec_struct
+        ),
+    }
+    inter, specs, repeats_col = F.col("inter"), F.col("specs"), F.col("repeats")
+    new_here = lambda x: ~F.coalesce(
+        F.element_at(repeats_col, _join(pos, "/", x["j"])), F.lit(False)
     )
-    owned_col = F.col("owned")
-    graded_col, refs_col = F.col("graded"), F.col("refs")
-    graded = (F.size("specs") > 0) | F.col("doc_rubric") | _has_rubric(item) | F.col("has_solution")
-    refs = F.transform(F.filter(specs, lambda s: s["nested"]), lambda s: s["ref"])
+    linked = {
+        "owned": F.array_distinct(
+            F.transform(
+                F.filter(inter, lambda x: x["nested"] & (x["iid"] != "") & new_here(x)), lambda x: x["iid"]
+            )
+        ),
+        "refs": F.transform(F.filter(specs, lambda s: s["nested"]), lambda s: s["ref"]),
+        "graded": (F.size("specs") > 0) | F.col("doc_rubric") | _has_rubric(item) | F.col("has_solution"),
+    }
+    owned, refs, graded = F.col("owned"), F.col("refs"), F.col("graded")
 
     def last_type(iid: Column) -> Column:
         same = F.filter(inter, lambda x: x["nested"] & (x["iid"] == iid))
         return F.get(same, F.size(same) - 1)["itype"]
 
     def missing_spec(iid: Column, n: Column) -> Column:
-        itype = last_type(iid)
-        return _list(
+        finding = lambda itype: _list(
             _finding(
-                ~F.array_contains(refs_col, iid) & ~((itype == "essay") & graded_col),
+                ~((itype == "essay") & graded),
                 "G31",
                 _join(base, "/answerSpecs"),
                 [F.lit(3), pos, F.lit(5), n],
@@ -480,16 +444,19 @@ def check_object(docs: DataFrame) -> DataFrame:
                 F.when(itype.isin("essay", "short_answer"), "needs_review"),
             )
         )
+        return F.when(F.array_contains(refs, iid), NOTHING()).otherwise(bind(last_type(iid), finding))
 
     short_stem = F.length(v.content_text(v.get(item, "stem"))) < MIN_ESSAY_STEM
 
     def essay_findings(x: Column) -> Column:
-        essay = x["nested"] & (x["itype"] == "essay")
         at = [F.lit(3), pos, F.lit(7), x["j"]]
-        return _list(
-            _finding(essay & short_stem, "G46", _join(base, "/stem"), [*at, 0]),
-            _finding(essay & ~graded_col, "G47", _join(base, "/interactions/", x["j"]), [*at, 1]),
-        )
+        return F.when(
+            x["nested"] & (x["itype"] == "essay"),
+            _list(
+                _finding(short_stem, "G46", _join(base, "/stem"), [*at, 0]),
+                _finding(~graded, "G47", _join(base, "/interactions/", x["j"]), [*at, 1]),
+            ),
+        ).otherwise(NOTHING())
 
     hints, stem = v.get(item, "hints"), v.get(item, "stem")
     top = F.concat(
@@ -508,9 +475,9 @@ def check_object(docs: DataFrame) -> DataFrame:
         _list(_finding(F.lit(True), "G18", _join(base, "/interactions"), [F.lit(3), pos, F.lit(4)])),
     ).otherwise(
         F.concat(
-            _spread(inter, _interaction_findings(base, pos, repeats)),
-            _spread(owned_col, missing_spec),
-            _spread(specs, _spec_findings(base, pos, inter, owned_col)),
+            _spread(inter, _interaction_findings(base, pos, repeats_col)),
+            _spread(owned, missing_spec),
+            _spread(specs, _spec_findings(base, pos, inter, owned)),
             _spread(inter, essay_findings),
         )
     )
@@ -519,18 +486,39 @@ def check_object(docs: DataFrame) -> DataFrame:
         .when(~v.is_object(item), _list(_finding(F.lit(True), "G13", base, [F.lit(3), pos])))
         .otherwise(F.concat(top, lower))
     )
-    listed_findings = typed.withColumns({"owned": owned, "refs": refs, "graded": graded}).select(
-        "doc_id", F.explode(found).alias("f")
+    return {
+        "prepared": prepared,
+        "repeats": repeats_map,
+        "document": of_document,
+        "slots": F.posexplode(slots).alias("slot", "item"),
+        "typed": typed,
+        "linked": linked,
+        "found": F.explode(found).alias("f"),
+    }
+
+
+def check_object(docs: DataFrame) -> DataFrame:
+    """All structural issues of each document (doc_id, doc VARIANT [, index]), in document order by `ord`."""
+    step = _stages()
+    if "index" not in docs.columns:
+        docs = docs.withColumn("index", F.lit(0))
+    of_document = (
+        docs.select("doc_id", "doc", "index")
+        .withColumns(step["prepared"])
+        .withColumns({"repeats": step["repeats"], "found": step["document"]})
     )
-    return as_issues(listed_findings.select("doc_id", "f.*"))
+    keep = ["doc_id", "found", "doc_specs", "has_solution", "doc_rubric", "repeats"]
+    items = of_document.select(*keep, step["slots"]).withColumn("item_pos", F.col("slot") - 1)
+    findings = items.withColumns(step["typed"]).withColumns(step["linked"]).select("doc_id", step["found"])
+    return as_issues(findings.select("doc_id", "f.*"))
 
 
-def as_issues(findings: DataFrame, rules: dict = RULES) -> DataFrame:
+def as_issues(findings: DataFrame) -> DataFrame:
     """Findings (rule, location, detail, severity, ord) with the texts and grades of their rules."""
     rule = F.col("rule")
 
     def of(i: int) -> Column:
-        return text.lookup({code: r[i] for code, r in rules.items()}, rule)
+        return text.lookup({code: r[i] for code, r in RULES.items()}, rule)
 
     keep = [c for c in findings.columns if c not in ("rule", "severity", "location", "detail", "ord")]
     return findings.select(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Skew: no single key may decide how long a stage runs, so hot join partitions are split at run time even
 # where that costs one more shuffle.
@@ -14,23 +16,32 @@ RUNTIME_SETTINGS = {
 }
 
 
+# For the builder of a session: call sites of column calls cost several calls into the JVM each.
+BUILD_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    for key, value in BUILD_SETTINGS.items():
+        if spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
     return spark
 
 
-def has_checkpoint_dir(spark: SparkSession) -> bool:
-    return bool(spark.conf.get("spark.checkpoint.dir", None)) or bool(
-        spark.sparkContext.getCheckpointDir()
-    )
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a temporary one only where the whole session is on this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="rubrica-")
 
 
-def cut_lineage(df):
-    """Reliable checkpoint in the shared folder of the cluster; a plain pass-through where none is named."""
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows as a reliable checkpoint, so that a lost executor does not repeat what came before."""
     spark = df.sparkSession
-    if not has_checkpoint_dir(spark):
-        return df
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint()

@@ -5,35 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from rubrica import dims
-from rubrica.functions.text import strip
+from rubrica.functions.text import bind, strip
 
 DOTTED = r"^\.*(?:[^.\[]+(?:\[\d+\])*(?:\.+[^.\[]+(?:\[\d+\])*)*)?\.*$"
 
 
 def to_pointer(location: Column) -> Column:
     """Turn `$`-rooted, dotted and indexed locations into JSON pointers; keep what cannot be read."""
-    raw = strip(F.coalesce(location, F.lit("")))
-    text = (
-        F.when(raw.startswith("/$/"), F.substr(raw, F.lit(3)))
-        .when(raw.startswith("$/"), F.substr(raw, F.lit(2)))
-        .when(raw.startswith("$."), F.substr(raw, F.lit(3)))
-        .otherwise(raw)
-    )
-    body = F.when(
-        text.startswith("generatedQuestion."), F.substr(text, F.lit(len("generatedQuestion.") + 1))
-    ).otherwise(text)
-    parts = F.regexp_replace(
-        F.regexp_replace(F.btrim(body, F.lit(".")), r"\[(\d+)\]", "/$1"), r"\.+", "/"
-    )
-    return (
-        F.when(raw.isin("", "$", "/$"), "")
-        .when(text.startswith("/"), text)
-        .when(text == "generatedQuestion", "")
-        .when(body.isin("input", "generatedQuestions"), body)
-        .when(~body.rlike(DOTTED), raw)
-        .when(parts == "", "")
-        .otherwise(F.concat(F.lit("/"), parts))
-    )
+    prefix = "generatedQuestion."
+
+    def unrooted(raw: Column) -> Column:
+        return (
+            F.when(raw.startswith("/$/"), F.substr(raw, F.lit(3)))
+            .when(raw.startswith("$/"), F.substr(raw, F.lit(2)))
+            .when(raw.startswith("$."), F.substr(raw, F.lit(3)))
+            .otherwise(raw)
+        )
+
+    def dotted(raw: Column, text: Column) -> Column:
+        body = F.when(text.startswith(prefix), F.substr(text, F.lit(len(prefix) + 1))).otherwise(text)
+        parts = F.regexp_replace(
+            F.regexp_replace(F.btrim(body, F.lit(".")), r"\[(\d+)\]", "/$1"), r"\.+", "/"
+        )
+        return (
+            F.when(body.isin("input", "generatedQuestions"), body)
+            .when(~body.rlike(DOTTED), raw)
+            .when(parts == "", "")
+            .otherwise(F.concat(F.lit("/"), parts))
+        )
+
+    def read(raw: Column) -> Column:
+        return F.when(raw.isin("", "$", "/$"), "").otherwise(
+            bind(
+                unrooted(raw),
+                lambda text: F.when(text.startswith("/"), text)
+                .when(text == "generatedQuestion", "")
+                .otherwise(dotted(raw, text)),
+            )
+        )
+
+    return bind(strip(F.coalesce(location, F.lit(""))), read)
 
 
 def pointer_index(pointer: Column, name: str) -> Column:
@@ -102,9 +113,9 @@ def deepest_paths(paths: Column) -> Column:
     pointers = F.array_distinct(
         F.filter(F.transform(paths, to_pointer), lambda p: p.startswith("/"))
     )
-    return F.filter(
+    return bind(
         pointers,
-        lambda p: ~F.exists(pointers, lambda q: q.startswith(F.concat(p, F.lit("/")))),
+        lambda ps: F.filter(ps, lambda p: ~F.exists(ps, lambda q: q.startswith(F.concat(p, F.lit("/"))))),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rubrica.functions import variants as v
 from rubrica.functions.expressions import built_once
-from rubrica.functions.text import strip
+from rubrica.functions.text import bind, strip
 
 
 def _explode(df: DataFrame, array: Column, pos: str, value: str) -> DataFrame:
@@ -154,19 +154,27 @@ def find_values(docs: DataFrame, key: str) -> DataFrame:
 
 def _text_blocks(blocks: Column, base: Column, role: Column, itype: Column) -> Column:
     """Text blocks of a block list and of nested `content`, in reading order."""
-    nested = F.filter(
-        v.nodes(blocks),
-        lambda n: (n["kind"] == "string") & n["pointer"].rlike(r"^/[0-9]+(?:/content/[0-9]+)*/text$"),
-    )
-    return F.transform(
-        F.when(v.is_array(blocks), nested).otherwise(F.filter(nested, lambda n: F.lit(False))),
-        lambda n: F.struct(
-            F.concat(base, n["pointer"]).alias("pointer"),
-            role.alias("role"),
-            itype.alias("itype"),
-            n["value"].cast("string").alias("text"),
-        ),
-    )
+
+    def node(pointer: Column, text: Column) -> Column:
+        return F.struct(
+            F.concat(base, pointer).alias("pointer"), role.alias("role"), itype.alias("itype"), text.alias("text")
+        )
+
+    def walk(listed: Column) -> Column:
+        flat = F.transform(
+            listed,
+            lambda b, i: node(
+                F.concat(F.lit("/"), i.cast("string"), F.lit("/text")), v.string_of(v.get(b, "text"))
+            ),
+        )
+        deep = F.transform(
+            F.filter(v.nodes(blocks), lambda n: n["pointer"].rlike(r"^/[0-9]+(?:/content/[0-9]+)*/text$")),
+            lambda n: node(n["pointer"], v.string_of(n["value"])),
+        )
+        nested = F.exists(listed, lambda b: v.is_array(v.get(b, "content")))
+        return F.filter(F.when(nested, deep).otherwise(flat), lambda n: n["text"].isNotNull())
+
+    return bind(v.as_array(blocks), walk)
 
 
 NO_NODES = "array<struct<pointer:string,role:string,itype:string,text:string>>"

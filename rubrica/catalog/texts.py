@@ -93,7 +93,7 @@ ACCENTLESS = (
 
 @query("accentless_text", rel.with_sql("nodes", ACCENTLESS, p=f"SELECT *, {PROTECTED} AS protected FROM nodes"))
 def accentless_text(spark, sf):
-    return rel.nodes(spark, sf).filter(t.accentless_text(F.col("text"))).select("doc_id", "pos")
+    return rel.nodes(spark, sf).filter(t.accentless_text(t.protect_math(F.col("text")))).select("doc_id", "pos")
 
 
 GRADES = "CASE rule " + " ".join(f"WHEN '{k}' THEN '{r[0]}'" for k, r in hygiene.RULES.items()) + " END"

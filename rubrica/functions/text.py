@@ -101,19 +101,17 @@ def count_of(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
-def accentless_text(text: Column) -> Column:
+def accentless_text(protected: Column) -> Column:
     """Long enough, at least six plain words, and no accented letter outside the allowed phrases."""
-    protected = protect_math(text)
     phrases = "|".join(sorted(dims.WHITELIST, key=len, reverse=True))
+
+    def plain_words(lowered: Column) -> Column:
+        words = F.regexp_extract_all(lowered, F.lit(f"([{dims.WORD_CHARS}_]{{3,}})"), F.lit(1))
+        plain = F.filter(words, lambda w: w.rlike("^[a-z]+$"))
+        return ~lowered.rlike(f"[{dims.ACCENTED}]") & (F.size(plain) >= 6)
+
     lowered = F.regexp_replace(F.lower(protected), phrases, " ")
-    words = F.regexp_extract_all(lowered, F.lit(f"([{dims.WORD_CHARS}_]{{3,}})"), F.lit(1))
-    plain = F.filter(words, lambda w: w.rlike("^[a-z]+$"))
-    return (
-        (F.length(protected) >= 20)
-        & (strip(protected) != "")
-        & (F.size(plain) >= 6)
-        & ~lowered.rlike(f"[{dims.ACCENTED}]")
-    )
+    return (F.length(protected) >= 20) & (strip(protected) != "") & bind(lowered, plain_words)
 
 
 def generic_summary(summary: Column, issue_type: Column) -> Column:

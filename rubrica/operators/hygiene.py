@@ -60,7 +60,7 @@ def rule_hits(text: Column, protected: Column, role: Column) -> Column:
             hit(t.contains_any(protected, dims.MOJIBAKE), "H7"),
             hit((F.length(protected) > MAX_CHARS) & (marks <= 1), "H8"),
             hit(F.abs(t.count_of(protected, "(") - t.count_of(protected, ")")) >= 2, "H9"),
-            hit(t.accentless_text(text), "H10"),
+            hit(t.accentless_text(protected), "H10"),
         )
     )
 

@@ -352,8 +352,9 @@ def needs_fallback(spark, sf):
 
 @query("repair_eligible", f"SELECT event_id, {STATUS_CASE} IN ('bad', 'needs_review', 'warning') AS eligible FROM events")
 def repair_eligible(spark, sf):
-    eligible = F.col("overall_status").isin(dims.REPAIR_TRIGGERS) & ~F.col("overall_status").isin(dims.REPAIR_SKIPS)
-    return plan_events(spark, sf).select("event_id", eligible.alias("eligible"))
+    return plan_events(spark, sf).select(
+        "event_id", consensus.repair_eligible(F.col("overall_status")).alias("eligible")
+    )
 
 
 SUMMARIES = ["coverage issue here", "The second part of the question has no item", "clarity", "decomposition issue", "interaction_type_issue", "The order of the steps is wrong in clarity"]

@@ -77,34 +77,31 @@ def quality_summary(spark, sf):
     )
     decided = consensus.reconcile_resolver(runs, ["doc_id", "pair"])
     decision = F.when(F.col("agreement"), "agreement").otherwise(F.col("fallback_reason"))
-
-    def stage(pair, name, called):
-        attempts = F.lit(2) + called.cast("int") + (1 if name == "judge" else 0)
-        return decided.filter(F.col("pair") == pair).select(
-            "doc_id", attempts.alias(f"{name}_attempts"), called.alias(f"{name}_fallback"), F.lit(2).alias(f"{name}_runs"), F.col("agreement").alias(f"{name}_agreement"), decision.alias(f"{name}_decision")
-        )
-
     invalid = F.coalesce(F.col("fallback_reason").isin("run_1_invalid", "run_2_invalid"), F.lit(False))
+
+    def of_pair(pair, name, called, attempts):
+        """Columns of one stage from the rows of its pair: the first pair of a document judges, the second resolves."""
+        pick = lambda value: F.max(F.when(F.col("pair") == pair, value))
+        return [
+            pick(F.lit(attempts) + called.cast("int")).alias(f"{name}_attempts"),
+            pick(called).alias(f"{name}_fallback"),
+            pick(F.lit(2)).alias(f"{name}_runs"),
+            pick(F.col("agreement")).alias(f"{name}_agreement"),
+            pick(decision).alias(f"{name}_decision"),
+        ]
+
+    stages = decided.groupBy("doc_id").agg(
+        *of_pair(0, "judge", invalid, 3), *of_pair(1, "resolver", F.col("fallback_called"), 2)
+    )
+    repaired = docs.select(
+        "doc_id",
+        F.when(F.col("status") == "F", "repaired").when(F.col("status") == "P", "failed").otherwise("skipped").alias("repair_status"),
+    )
     results = (
-        statuses.join(stage(0, "judge", invalid), "doc_id", "left")
-        .join(stage(1, "resolver", F.col("fallback_called")), "doc_id", "left")
-        .withColumns(
-            {
-                "is_good": F.col("status") == "good",
-                "repair_status": F.when(F.col("doc_id").isNotNull(), F.col("order_repair")),
-            }
-        )
-        if "order_repair" in statuses.columns
-        else None
+        statuses.join(stages, "doc_id", "left")
+        .join(repaired, "doc_id")
+        .withColumn("is_good", F.col("status") == "good")
     )
-    if results is None:
-        repaired = docs.select("doc_id", F.when(F.col("status") == "F", "repaired").when(F.col("status") == "P", "failed").otherwise("skipped").alias("repair_status"))
-        results = (
-            statuses.join(stage(0, "judge", invalid), "doc_id", "left")
-            .join(stage(1, "resolver", F.col("fallback_called")), "doc_id", "left")
-            .join(repaired, "doc_id")
-            .withColumn("is_good", F.col("status") == "good")
-        )
     return rollup.quality_summary(results)
 
 

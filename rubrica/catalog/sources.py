@@ -166,17 +166,13 @@ def content_text(spark, sf):
 def deep_text(spark, sf):
     """Distinct texts of a solution and of its nested content, each turn as one solution object."""
     doc = F.struct(
-        F.array(F.struct(F.col("text").alias("text")), F.struct(F.col("text").alias("text"))).alias("stem"),
+        F.array(F.struct(F.col("text").alias("text"))).alias("stem"),
         F.array(F.struct(F.array(F.struct(F.concat(F.lit("note "), F.col("role")).alias("text"))).alias("content"))).alias("hints"),
     )
     docs = rel.table(spark, sf, "conversations").select("conv_id", "turn", F.to_variant_object(doc).alias("doc"))
-    blocks = F.filter(
-        F.array_distinct(v.deep_texts(v.get(F.col("doc"), "stem", )).cast("array<string>")), lambda s: s != ""
-    )
-    stem = F.get(F.array_distinct(v.deep_texts(F.try_variant_get("doc", "$.stem[0]", "variant"))), F.lit(0))
-    hints = F.array_join(F.array_distinct(v.deep_texts(v.get(F.col("doc"), "hints"))), "\n")
-    return docs.filter(F.size(blocks) >= 0).select(
-        F.col("conv_id").alias("doc_id"), "turn", F.concat_ws("\n", stem, hints).alias("content")
+    texts = F.concat(*[v.deep_texts(v.get(F.col("doc"), k)) for k in ("stem", "hints")])
+    return docs.select(
+        F.col("conv_id").alias("doc_id"), "turn", F.array_join(F.array_distinct(texts), "\n").alias("content")
     )
 
 

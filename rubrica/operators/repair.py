@@ -12,6 +12,7 @@ from rubrica import dims
 from rubrica.functions import pointers, text as t, variants as v
 from rubrica.functions.text import bind
 from rubrica.operators import flatten, hygiene, issues as issue_ops, rules_object
+from rubrica.session import cut_lineage
 
 NULL = lambda: F.parse_json(F.lit("null"))
 
@@ -286,13 +287,13 @@ def repair_round(docs: DataFrame, patches: DataFrame) -> DataFrame:
     """One round: apply each document's patches, keep what is valid, check it again.
 
     docs: (doc_id, doc); patches: (doc_id, patches). Returns (doc_id, doc, repair_status, recheck_good) where `doc`
-    is the document to go on with.
+    is the document to go on with. Patched and guarded documents are read several times, so both are checkpointed.
     """
-    patched = patch_documents(docs.join(patches, "doc_id"))
-    accepted = accept_candidates(patched).join(docs, "doc_id")
+    patched = cut_lineage(patch_documents(docs.join(patches, "doc_id")))
+    accepted = accept_candidates(patched).join(patched.select("doc_id", "doc"), "doc_id")
     guarded = guard_repaired_text(accepted)
-    current = guarded.select(
-        "doc_id", F.coalesce("new_doc", "doc").alias("doc"), "repair_status"
+    current = cut_lineage(
+        guarded.select("doc_id", F.coalesce("new_doc", "doc").alias("doc"), "repair_status")
     )
     left = (
         rules_object.check_object(current.select("doc_id", "doc"))

@@ -71,7 +71,7 @@ def repair_rounds(docs: DataFrame, patches: DataFrame, max_loop: int = 1) -> Dat
     ended, last_good = [], None
     for number in range(1, limit + 1):
         given = patches.filter(F.col("round") == number).select("doc_id", "patches")
-        outcome = cut_lineage(repair.repair_round(current, given))
+        outcome = cut_lineage(repair.repair_round(current, given))  # also what the next round starts from
         failed = outcome.filter(F.col("repair_status") != "repaired")
         good = outcome.filter((F.col("repair_status") == "repaired") & F.col("recheck_good"))
         open_ = outcome.filter((F.col("repair_status") == "repaired") & ~F.col("recheck_good"))

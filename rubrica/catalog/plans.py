@@ -281,6 +281,44 @@ def coverage_consistency(spark, sf):
     )
 
 
+def evaluation_replies(spark, sf):
+    """Replies with a mapping of two subparts, one of them found although it is called missing."""
+    state = F.get(F.array(F.lit("present"), F.lit("absent"), F.lit("odd")), (F.col("event_id") % 3).cast("int"))
+    where = F.when(F.col("event_id") % 2 == 0, '[{"itemOrder": 1}]').otherwise("[]")
+    mapping = F.concat(
+        F.lit('[{"source_subpart": "alpha", "coverage_state": "'), state, F.lit('", "matched_plan_locations": '), where,
+        F.lit('}, {"coverage_state": "present"}]'),
+    )
+    issue = F.concat(
+        F.lit('[{"issue_type": "coverage_issue", "severity": "bad", "summary": "Alpha is missing"}, {"issue_type": "x", "severity": "'),
+        F.when(F.col("event_id") % 5 == 0, "warning").otherwise("odd"),
+        F.lit('", "summary": "other"}]'),
+    )
+    body = F.concat(F.lit('{"overall_status": "bad", "coverage_status": "full", "source_to_plan_mapping": '), mapping, F.lit(', "issues": '), issue, F.lit("}"))
+    return rel.table(spark, sf, "events").select(F.col("event_id").alias("record_id"), F.try_parse_json(body).alias("reply"))
+
+
+@query(
+    "plan_eval_from_reply",
+    "SELECT event_id AS record_id, CASE WHEN found THEN 1 ELSE 2 END AS n_issues, CASE WHEN NOT found AND m = 1 THEN 'alpha' ELSE '' END AS missing, "
+    "CASE WHEN m = 0 OR (found AND m = 1) THEN 'alpha|source_subpart_2' ELSE 'source_subpart_2' END AS covered, "
+    "CASE WHEN m = 1 AND NOT found THEN 'partial' WHEN m = 2 THEN 'unclear' ELSE 'full' END AS coverage_status, "
+    "CASE WHEN NOT found THEN 'bad' WHEN event_id % 5 = 0 THEN 'warning' ELSE 'needs_review' END AS overall_status FROM "
+    "(SELECT event_id, event_id % 3 AS m, event_id % 3 = 0 OR event_id % 2 = 0 AS found FROM events) t",
+)
+def plan_eval_from_reply(spark, sf):
+    """From the reply to the consistent evaluation: a subpart with a place in the plan is not missing."""
+    found = coverage.coverage_consistency(coverage.evaluations_from_replies(evaluation_replies(spark, sf)))
+    return found.select(
+        "record_id",
+        F.size("issues").alias("n_issues"),
+        F.array_join("missing", "|").alias("missing"),
+        F.array_join("covered", "|").alias("covered"),
+        "coverage_status",
+        "overall_status",
+    )
+
+
 # --- evaluations and reports ---------------------------------------------------------------------------------------
 
 STATUS_CASE = "CASE event_type WHEN 'error' THEN 'bad' WHEN 'signup' THEN 'needs_review' WHEN 'click' THEN 'ok' WHEN 'view' THEN 'warning' ELSE 'odd' END"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from rubrica.operators import consensus, contracts, requests, rules_plan
+from rubrica.operators import consensus, contracts, coverage, requests, rules_plan
 
 
 def structural_stage(records: DataFrame) -> dict[str, DataFrame]:
@@ -27,3 +27,9 @@ def evaluation_stage(replies: DataFrame) -> DataFrame:
     asked = primary.filter(consensus.needs_fallback(F.col("valid"), F.col("confidence"), F.col("status")))
     second = checked.filter(F.col("model_tier") == "strong").join(asked.select("record_id"), "record_id", "left_semi")
     return consensus.choose_plan_reply(primary, second)
+
+
+def normalized_evaluations(checked: DataFrame) -> DataFrame:
+    """Consistent evaluations of the valid replies among checked ones (record_id, valid, reply)."""
+    typed = coverage.evaluations_from_replies(checked.filter("valid").select("record_id", "reply"))
+    return coverage.coverage_consistency(typed)

@@ -7,7 +7,7 @@ unless the contract is closed.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -41,11 +41,8 @@ class Field:
 class Contract:
     fields: tuple
     closed: bool = False
-    extra: tuple = field(default=())
 
 
-ISSUE_FIELDS = ("severity", "category", "location", "reason", "suggestion")
-
 SPLIT = Contract(
     (
         Field(

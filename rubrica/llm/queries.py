@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubrica.llm import simhash
+from rubrica.llm import exact_dedup, mixing, simhash
 from rubrica.llm.common import table
 from rubrica.session import configure
 
@@ -42,3 +42,57 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op10_exact_dedup",
+    f"""
+    WITH d AS (SELECT doc_id, sha256({NORMAL}) AS text_sha256 FROM documents)
+    SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+        doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, text_sha256
+    FROM d WINDOW same AS (PARTITION BY text_sha256)
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document, the one of its equal texts that stays."""
+    found = exact_dedup.duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query(
+    "op1_mixing",
+    r"""
+    WITH d AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+            md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+        FROM documents),
+    s AS (
+        SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+            CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
+        FROM d GROUP BY source),
+    r AS (
+        SELECT *, 2.0::DOUBLE * source_size / weight AS ratio,
+            (1.5::DOUBLE * sum(source_size) OVER () - coalesce(2.0::DOUBLE * sum(source_size) OVER before, 0)) / sum(weight) OVER onward AS level
+        FROM s
+        WINDOW before AS (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+            onward AS (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    t AS (
+        SELECT source, source_size,
+            least(2.0::DOUBLE * source_size, weight * coalesce((SELECT min(level) FROM r WHERE level <= ratio), 0.0::DOUBLE)) AS target
+        FROM r),
+    c AS (
+        SELECT doc_id, size, source_size, target,
+            sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS c
+        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+        CAST(least(size, greatest(0, floor(target) - c)) + least(size, greatest(0, floor(target) - source_size - c)) AS BIGINT) AS taken
+    FROM c
+    """,
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes, in the order in which training first meets them."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubrica.llm import exact_dedup, mixing, simhash
+from rubrica.llm import exact_dedup, mixing, packing, simhash, token_counts
 from rubrica.llm.common import table
 from rubrica.session import configure
 
@@ -96,3 +96,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes, in the order in which training first meets them."""
     mixed = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op9_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in sequences of 4096 ids."""
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op3_token_counts")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals, quantiles and truncated totals of all documents for every context limit."""
+    return token_counts.context_table(token_counts.histogram(table(spark, sf_dir, "documents", "text")))

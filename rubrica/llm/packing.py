@@ -67,8 +67,7 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-@pandas_udf("long")
-def curve_key(text: pd.Series) -> pd.Series:
+def curve_keys(text: pd.Series) -> pd.Series:
     points = np.array([project(bytes(t)) for t in text], np.float64).reshape(-1, DIMENSIONS)
     cells = np.clip((points + 4) / 8 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
     return pd.Series(hilbert(cells))
@@ -148,6 +147,7 @@ def pack(docs: DataFrame, length: int = LENGTH, closing: int = CLOSING, path: st
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = pa.schema([("doc_id", {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string()))] + [(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
     rows = docs.select("doc_id", utf8().alias("text"))
+    curve_key = pandas_udf(curve_keys, "long")
     ranged = rows.withColumn("key", curve_key("text")).repartitionByRange("key", F.xxhash64("doc_id"))
     ordered = ranged.sortWithinPartitions("key", F.xxhash64("doc_id"), "doc_id", "text")
     columns = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

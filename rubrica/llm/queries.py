@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubrica.llm import exact_dedup, mixing, packing, simhash, token_counts
+from rubrica.llm import exact_dedup, language_id, mixing, packing, simhash, token_counts, toxicity
 from rubrica.llm.common import table
 from rubrica.session import configure
 
@@ -108,3 +108,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals, quantiles and truncated totals of all documents for every context limit."""
     return token_counts.context_table(token_counts.histogram(table(spark, sf_dir, "documents", "text")))
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document."""
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")
+    return toxicity.toxicity(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return language_id.languages(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))

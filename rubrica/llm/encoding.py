@@ -10,9 +10,9 @@ import re
 from array import array
 
 #: The word tokenizer lower-cases and cuts at white space, so the ids of a text are those of its chunks in a row.
-#: This holds for the characters below U+0250; texts with others, or with its special tokens, are encoded whole.
-ODD = re.compile("[\x1c-\x1fɐ-\U0010ffff]")
-LETTER, NUMBER = "a-zªµºß-öø-ɏ", "0-9²³¹¼½¾"
+#: This holds for the characters below U+0180; texts with others, or with its special tokens, are encoded whole.
+ODD = re.compile("[\x1c-\x1fƀ-\U0010ffff]")
+LETTER, NUMBER = "a-zªµºß-öø-ſ", "0-9²³¹¼½¾"
 #: How the tokenizer cuts a chunk into words, for these characters.
 WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\t-\r \x85\xa0{LETTER}{NUMBER}]+")
 #: Remembered words and chunks of a task at most; beyond that it starts anew.

@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples.
 
-Features are the words of a text and their beginnings. Those that go with the label are selected from counts over all
+Features are the words of a text and their beginnings. Those that go with the label are selected from counts over the
 labelled rows; texts become TF-IDF vectors over them. A block-max inverted index of labelled examples finds the nearest
 by exact cosine: examples lie in blocks, every feature has its largest weight in each block, and a block is opened only
 if the bound of its cosines can still beat the k-th best. Votes weighted by distance give a raw share, which is
@@ -23,18 +23,21 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from rubrica.llm.common import utf8
 from rubrica.session import cut_lineage
 
 ROWS, TERMS, CANDIDATES, EXAMPLES = 12_000, 1024, 20_000, 4096
-BEGINNINGS = (3, 4, 5)
+BEGINNINGS = (4, 5, 6, 7, 8, 9)
+LEAST_BEGINNING = BEGINNINGS[0]
 NEAREST, BLOCK = 15, 64
-#: A feature must be in so many texts of label 1, and make the label at least so many times as likely.
-LEAST, LIFT = 4, 2.0
+#: A feature must be in so many texts of label 1, make the label at least so many times as likely, and tell so much of it.
+LEAST, LIFT, GAIN = 3, 2.0, 5.0
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -81,7 +84,7 @@ def select_terms(train: DataFrame) -> tuple[dict[str, float], int, int]:
         if p >= LIFT * q:
             share = (a + b) / (n0 + n1)
             gain[term] = a * math.log(p / share) + (n1 - a + 1e-9) * math.log(max(1e-9, 1 - p) / max(1e-9, 1 - share))
-    best = sorted((t for t in gain if gain[t] > 8), key=lambda t: (-gain[t], t))[:TERMS]
+    best = sorted((t for t in gain if gain[t] > GAIN), key=lambda t: (-gain[t], t))[:TERMS]
     return {t: math.log((n0 + n1 + 1) / (known[t] + negative.get(t, 0) + 1)) + 1 for t in best}, n0, n1
 
 
@@ -92,11 +95,20 @@ class Vectors:
         self.at = {t: i for i, t in enumerate(idf)}
         self.idf = np.array(list(idf.values()))
         self.terms, self.names = list(idf), frozenset(idf)
+        self.openings = frozenset(t[:LEAST_BEGINNING] for t in idf)
 
     def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(feature numbers, weights of length 1); empty where no selected feature occurs."""
-        own = features(text)
-        terms = sorted(self.at[t] for t in self.names & own.keys())
+        own: Counter = Counter()
+        names = self.names
+        for w, n in Counter(_WORD.findall(text.decode().lower())).items():
+            if w in names:
+                own[w] += n
+            if w[:LEAST_BEGINNING] in self.openings:
+                for k in BEGINNINGS:
+                    if len(w) > k and f"{w[:k]}*" in names:
+                        own[f"{w[:k]}*"] += n
+        terms = sorted(self.at[t] for t in own)
         if not terms:
             return np.zeros(0, np.int64), np.zeros(0)
         at = np.array(terms)
@@ -238,10 +250,6 @@ def verdicts(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _score_column(model: Model):
-    import pandas as pd
-    from pyspark.sql import SparkSession
-    from pyspark.sql.functions import pandas_udf
-
     shared = SparkSession.active().sparkContext.broadcast(model)
 
     @pandas_udf("double")

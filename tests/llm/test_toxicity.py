@@ -6,7 +6,7 @@ import pytest
 
 from rubrica.llm import toxicity
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 
 
 def table(spark, name):
@@ -37,7 +37,7 @@ def test_held_out_rows(spark):
     out = toxicity.toxicity(table(spark, "documents").select("doc_id", "text"), table(spark, "labels"))
     truth = {r.doc_id: r.toxic for r in table(spark, "labels").collect()}
     rows = out.collect()
-    assert len(rows) == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    assert len(rows) == 10_000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     held = [(r.predicted, truth[r.doc_id]) for r in rows if r.held_out and r.doc_id in truth]
     assert sum(p == t for p, t in held) / len(held) > 0.95

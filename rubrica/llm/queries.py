@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubrica.llm import exact_dedup, language_id, mixing, packing, simhash, token_counts, toxicity
+from rubrica.llm import exact_dedup, language_id, mixing, packing, pii, simhash, token_counts, toxicity
 from rubrica.llm.common import table
 from rubrica.session import configure
 
@@ -121,3 +121,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     return language_id.languages(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+@query("op2_personal_data")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.personal_data(table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -37,7 +37,7 @@ BEGINNINGS = (4, 5, 6, 7, 8, 9)
 LEAST_BEGINNING = BEGINNINGS[0]
 NEAREST, BLOCK = 15, 64
 #: A feature must be in so many texts of label 1, make the label at least so many times as likely, and tell so much of it.
-LEAST, LIFT, GAIN = 3, 2.0, 5.0
+LEAST, LIFT, GAIN = 4, 2.0, 7.0
 
 _WORD = re.compile(r"[^\W\d_]+")
 

@@ -108,7 +108,8 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
 
 
 LABELERS = ("key format", "hex", "named", "given", "mixed", "not prose")
-#: How often each labeler is expected to speak up on other strings; where the estimation starts, and a small part of it.
+#: How often each labeler is expected to speak up on other strings. It counts as much as all candidates do, since a
+#: corpus may hold few candidates that are no secrets, and two kinds of secrets must not be told apart as yes and no.
 EXPECTED = np.array([0.01, 0.02, 0.05, 0.05, 0.2, 0.4])
 LENGTHS, SHARES = (12, 16, 24, 36, 64), (0.15, 0.3, 0.5, 0.75)
 
@@ -127,19 +128,19 @@ def _votes(codes: np.ndarray) -> np.ndarray:
     return (codes[:, None] >> np.arange(len(LABELERS)) & 1).astype(float)
 
 
-def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def reliabilities(votes: np.ndarray, counts: np.ndarray, expected: np.ndarray = EXPECTED, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of each pattern, P(vote | secret), P(vote | other)) by expectation-maximisation from what is expected."""
 
     def posterior(share, hit, false):
         log = lambda q: votes @ np.log(q) + (1 - votes) @ np.log(1 - q)
         return 1 / (1 + np.exp(np.clip(log(false) + np.log(1 - share) - log(hit) - np.log(share), -40, 40)))
 
-    prior = 1 + 0.05 * counts.sum()
-    p = posterior(0.5, np.full(votes.shape[1], 0.6), EXPECTED)
+    prior = 1 + counts.sum()
+    p = posterior(0.5, np.full(votes.shape[1], 0.6), expected)
     for _ in range(rounds):
         one, zero = counts * p, counts * (1 - p)
         hit = (one @ votes + 1) / (one.sum() + 2)
-        false = (zero @ votes + prior * EXPECTED) / (zero.sum() + prior)
+        false = (zero @ votes + prior * expected) / (zero.sum() + prior)
         false = np.minimum(false, hit)  # no labeler speaks against what it is for
         new = posterior((one.sum() + 1) / (counts.sum() + 2), hit, false)
         if np.abs(new - p).max() < 1e-9:

@@ -107,10 +107,10 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
     return out
 
 
-LABELERS = ("key format", "hex", "named", "given", "mixed", "not prose")
+LABELERS = ("format", "named", "given", "mixed", "not prose")
 #: How often each labeler is expected to speak up on other strings. It counts as much as all candidates do, since a
 #: corpus may hold few candidates that are no secrets, and two kinds of secrets must not be told apart as yes and no.
-EXPECTED = np.array([0.01, 0.02, 0.05, 0.05, 0.2, 0.4])
+EXPECTED = np.array([0.02, 0.05, 0.05, 0.2, 0.4])
 LENGTHS, SHARES = (12, 16, 24, 36, 64), (0.15, 0.3, 0.5, 0.75)
 
 
@@ -119,9 +119,9 @@ def observe(text: str, a: int, b: int) -> int:
     own, before = text[a:b], text[max(0, a - BEFORE) : a]
     digits = sum("0" <= c <= "9" for c in own)
     turns = sum(x.isdigit() != y.isdigit() for x, y in zip(own, own[1:]))
-    votes = (_KEY.fullmatch(own), _HEX.fullmatch(own), NAMES.search(before), _GIVEN.search(before), turns >= 4, not _PROSE.search(own))
+    votes = (_KEY.fullmatch(own) or _HEX.fullmatch(own), NAMES.search(before), _GIVEN.search(before), turns >= 4, not _PROSE.search(own))
     shape = sum(b - a >= n for n in LENGTHS), sum(digits / (b - a) >= s for s in SHARES)
-    return sum(bool(v) << i for i, v in enumerate(votes)) | shape[0] << 6 | shape[1] << 9
+    return sum(bool(v) << i for i, v in enumerate(votes)) | shape[0] << 5 | shape[1] << 8
 
 
 def _votes(codes: np.ndarray) -> np.ndarray:
@@ -155,7 +155,7 @@ def classifier(codes: np.ndarray, counts: np.ndarray) -> dict[int, float]:
         return {}
     votes = _votes(codes)
     soft = reliabilities(votes, counts)[0]
-    x = np.hstack([votes, np.eye(6)[codes >> 6 & 7], np.eye(5)[codes >> 9 & 7], np.ones((len(codes), 1))])
+    x = np.hstack([votes, np.eye(6)[codes >> 5 & 7], np.eye(5)[codes >> 8 & 7], np.ones((len(codes), 1))])
     w = np.zeros(x.shape[1])
     weight = counts / counts.sum()
     for _ in range(25):  # Newton steps with a small ridge

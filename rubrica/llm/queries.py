@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubrica.llm import exact_dedup, language_id, mixing, packing, pii, simhash, substrings, token_counts, toxicity
+from rubrica.llm import exact_dedup, language_id, mixing, packing, pii, simhash, substrings, token_counts, toxicity, vector_graph
 from rubrica.llm.common import table
 from rubrica.session import configure
 
@@ -134,3 +134,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the windows that occur earlier."""
     left = substrings.without_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op5_vector_graph")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))

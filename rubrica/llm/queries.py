@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from rubrica.llm import exact_dedup, language_id, mixing, packing, pii, simhash, substrings, token_counts, toxicity, vector_graph
 from rubrica.llm.common import table
 from rubrica.session import configure
@@ -29,6 +30,9 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

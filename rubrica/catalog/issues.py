@@ -230,12 +230,11 @@ def batch_reasons(spark, sf):
     rel.with_sql(
         "q issues",
         "SELECT q.doc_id, coalesce(s.status, 'good') AS status, coalesce(s.n, 0) AS n_issues FROM q LEFT JOIN (SELECT doc_id, count(*) AS n, "
-        f"CASE min({rel.SEVERITY_RANK}) WHEN 0 THEN 'bad' WHEN 1 THEN 'needs_review' ELSE 'warning' END AS status FROM issues WHERE pos % 5 = 0 GROUP BY doc_id) s ON s.doc_id = q.doc_id",
+        f"CASE min({rel.SEVERITY_RANK}) WHEN 0 THEN 'bad' WHEN 1 THEN 'needs_review' ELSE 'warning' END AS status FROM issues GROUP BY doc_id) s ON s.doc_id = q.doc_id",
     ),
 )
 def result_status(spark, sf):
-    kept = rel.issues(spark, sf).filter(F.col("pos") % 5 == 0)
-    return rollup.result_status(rel.q(spark, sf).select("doc_id"), kept)
+    return rollup.result_status(rel.q(spark, sf).select("doc_id"), rel.issues(spark, sf))
 
 
 @query(

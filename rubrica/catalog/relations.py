@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rubrica import dims
 from rubrica.operators import ordering
-from rubrica.session import spread
 
 TYPE_CASE = (
     "CASE {c} WHEN 0 THEN 'single_choice' WHEN 1 THEN 'multiple_choice' WHEN 2 THEN 'true_false' "
@@ -242,7 +241,8 @@ def cover(spark, sf) -> DataFrame:
 
 def nodes(spark, sf) -> DataFrame:
     return (
-        spread(table(spark, sf, "documents").select("doc_id", "text"))
+        table(spark, sf, "documents")
+        .select("doc_id", "text")
         .select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
         .select(
             "doc_id",
@@ -306,8 +306,7 @@ to_json(named_struct(
 
 def object_json(spark, sf) -> DataFrame:
     """One JSON document per order (doc_id, k, body)."""
-    # Only the keys are dealt out; each becomes a document where it arrives.
-    orders = spread(table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
     return orders.select(F.col("k").alias("doc_id"), "k", F.expr(OBJECT_JSON).alias("body"))
 
 
@@ -396,8 +395,7 @@ concat('{{"_id": "', if(k % 31 = 0, '', concat('r', k)), '", "name": "n", "quest
 
 def plan_records(spark, sf) -> DataFrame:
     """One source record with a plan per order (record_id, record)."""
-    # Only the keys are dealt out; each becomes a document where it arrives.
-    orders = spread(table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
     return orders.select(F.col("k").alias("record_id"), F.try_parse_json(F.expr(RECORD_JSON)).alias("record"))
 
 

@@ -49,16 +49,19 @@ def _rates(s):
         "SELECT doc_id, 'bad' FROM spec s WHERE NOT EXISTS (SELECT 1 FROM inter i WHERE i.doc_id = s.doc_id AND i.item = s.item AND i.iid = s.ref_iid) UNION ALL "
         "SELECT doc_id, 'bad' FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, iid ORDER BY pos) AS n FROM inter) x WHERE n > 1",
         w="SELECT doc_id, pair, CASE WHEN v1 IS NULL THEN 'run_1_invalid' WHEN v2 IS NULL THEN 'run_2_invalid' WHEN v1 = v2 THEN 'agreement' ELSE 'disagreement' END AS d FROM "
-        "(SELECT doc_id, pair, max(CASE WHEN run_no = 1 THEN verdict END) AS v1, max(CASE WHEN run_no = 2 THEN verdict END) AS v2 FROM runs WHERE pair < 2 GROUP BY doc_id, pair) p",
+        "(SELECT doc_id, pair, max(CASE WHEN run_no = 1 THEN verdict END) AS v1, max(CASE WHEN run_no = 2 THEN verdict END) AS v2 FROM runs GROUP BY doc_id, pair) p",
+        g="SELECT doc_id, pair // 2 AS g, max(CASE WHEN pair % 2 = 0 THEN d END) AS jd, max(CASE WHEN pair % 2 = 1 THEN d END) AS zd FROM w GROUP BY 1, 2",
         r="SELECT q.doc_id, coalesce(f.st, 'good') AS st, CASE WHEN q.status = 'F' THEN 'repaired' WHEN q.status = 'P' THEN 'failed' ELSE 'skipped' END AS rs, "
-        "CASE WHEN j.d IS NULL THEN 0 WHEN j.d IN ('agreement', 'disagreement') THEN 3 ELSE 4 END AS j_a, j.d IN ('run_1_invalid', 'run_2_invalid') AS j_f, 2 AS j_r, j.d AS j_d, "
-        "CASE WHEN z.d IS NULL THEN 0 WHEN z.d = 'agreement' THEN 2 ELSE 3 END AS r_a, z.d <> 'agreement' AS r_f, 2 AS r_r, z.d AS r_d FROM q "
-        f"LEFT JOIN (SELECT doc_id, {STATUS} AS st FROM found GROUP BY doc_id) f ON f.doc_id = q.doc_id LEFT JOIN (SELECT * FROM w WHERE pair = 0) j ON j.doc_id = q.doc_id "
-        "LEFT JOIN (SELECT * FROM w WHERE pair = 1) z ON z.doc_id = q.doc_id",
+        "CASE WHEN g.jd IS NULL THEN 0 WHEN g.jd IN ('agreement', 'disagreement') THEN 3 ELSE 4 END AS j_a, g.jd IN ('run_1_invalid', 'run_2_invalid') AS j_f, 2 AS j_r, g.jd AS j_d, "
+        "CASE WHEN g.zd IS NULL THEN 0 WHEN g.zd = 'agreement' THEN 2 ELSE 3 END AS r_a, g.zd <> 'agreement' AS r_f, 2 AS r_r, g.zd AS r_d FROM q "
+        f"LEFT JOIN (SELECT doc_id, {STATUS} AS st FROM found GROUP BY doc_id) f ON f.doc_id = q.doc_id LEFT JOIN g ON g.doc_id = q.doc_id",
     ),
 )
 def quality_summary(spark, sf):
-    """Integrity issues of all documents, deduplicated, with the decisions over their runs, as one row."""
+    """Integrity issues of all documents, deduplicated, with the decisions over their runs, as one row.
+
+    Pairs of runs alternate: even ones judge, odd ones resolve. A document counts once for each two pairs.
+    """
     inter, spec, docs = rel.inter(spark, sf), rel.spec(spark, sf), rel.q(spark, sf)
     place = lambda id_: F.concat(F.lit("/"), "item", F.lit("/"), F.col(id_).cast("string"))
     found = (
@@ -72,16 +75,16 @@ def quality_summary(spark, sf):
         .withColumns({"pos": F.lit(0), "suggestion": F.lit(""), "repair_intent": issue_ops.default_intent(F.col("category"))})
     )
     statuses = rollup.result_status(docs, issue_ops.canonical_issues(found))
-    runs = rel.runs(spark, sf).filter(F.col("pair") < 2).select(
+    runs = rel.runs(spark, sf).select(
         "doc_id", "pair", "run_no", F.col("verdict").isNotNull().alias("valid"), F.col("verdict").alias("signature"), F.lit(False).alias("unsure")
     )
     decided = consensus.reconcile_resolver(runs, ["doc_id", "pair"])
     decision = F.when(F.col("agreement"), "agreement").otherwise(F.col("fallback_reason"))
     invalid = F.coalesce(F.col("fallback_reason").isin("run_1_invalid", "run_2_invalid"), F.lit(False))
 
-    def of_pair(pair, name, called, attempts):
-        """Columns of one stage from the rows of its pair: the first pair of a document judges, the second resolves."""
-        pick = lambda value: F.max(F.when(F.col("pair") == pair, value))
+    def of_pair(parity, name, called, attempts):
+        """Columns of one stage from the row of its pair."""
+        pick = lambda value: F.max(F.when(F.col("pair") % 2 == parity, value))
         return [
             pick(F.lit(attempts) + called.cast("int")).alias(f"{name}_attempts"),
             pick(called).alias(f"{name}_fallback"),
@@ -90,7 +93,7 @@ def quality_summary(spark, sf):
             pick(decision).alias(f"{name}_decision"),
         ]
 
-    stages = decided.groupBy("doc_id").agg(
+    stages = decided.groupBy("doc_id", F.floor(F.col("pair") / 2).alias("turn")).agg(
         *of_pair(0, "judge", invalid, 3), *of_pair(1, "resolver", F.col("fallback_called"), 2)
     )
     repaired = docs.select(
@@ -106,12 +109,12 @@ def quality_summary(spark, sf):
 
 
 def report_inputs(spark, sf):
-    issues = rel.issues(spark, sf).filter(F.col("pos") % 3 == 0)
+    issues = rel.issues(spark, sf)
     docs = rel.q(spark, sf).select("doc_id", F.col("doc_id").alias("index"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("doc|"), F.col("doc_id").cast("string"))).alias("id"))
     return rollup.result_status(docs, issues), issues
 
 
-_ISS = "SELECT * FROM issues WHERE pos % 3 = 0"
+_ISS = "SELECT * FROM issues"
 
 
 @query(
@@ -164,13 +167,17 @@ def report_rows(spark, sf):
 )
 def public_result(spark, sf):
     docs = rel.q(spark, sf).select("doc_id", (F.col("status") != "P").alias("is_good"), F.lit(None).cast("string").alias("new_doc"))
-    shown = rollup.public_result(docs, rel.issues(spark, sf).filter(F.col("pos") % 3 == 0))
+    shown = rollup.public_result(docs, rel.issues(spark, sf))
     return shown.select("doc_id", "is_good", *[F.col(f"issue.{c}").alias(c) for c in ("severity", "category", "location", "reason", "repair_intent")])
 
 
 @query(
     "public_result_debug",
-    "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN 'failed' END AS repair_status, nullif(o_orderkey % 4, 0) AS loop_count, CASE WHEN o_orderkey % 3 = 0 THEN 'failed' END AS stop_reason FROM orders",
+    rel.with_sql(
+        "q issues",
+        "SELECT q.doc_id, CASE WHEN q.doc_id % 3 = 0 THEN 'failed' END AS repair_status, nullif(q.doc_id % 4, 0) AS loop_count, CASE WHEN q.doc_id % 3 = 0 THEN 'failed' END AS stop_reason "
+        "FROM q LEFT JOIN issues i ON i.doc_id = q.doc_id",
+    ),
 )
 def public_result_debug(spark, sf):
     failed = F.col("doc_id") % 3 == 0
@@ -182,5 +189,4 @@ def public_result_debug(spark, sf):
         (F.col("doc_id") % 4).alias("loop_count"),
         F.when(failed, "failed").otherwise("").alias("stop_reason"),
     )
-    none = rel.issues(spark, sf).filter(F.lit(False))
-    return rollup.public_result(docs, none, debug=True).select("doc_id", "repair_status", "loop_count", "stop_reason")
+    return rollup.public_result(docs, rel.issues(spark, sf), debug=True).select("doc_id", "repair_status", "loop_count", "stop_reason")

@@ -378,11 +378,10 @@ def collapse_ws(spark, sf):
 
 @query(
     "snippet",
-    "SELECT doc_id, left(trim(regexp_replace(trim(text, chr(9) || chr(10) || chr(13) || ' ') || ' ' || source, '\\s+', ' ', 'g')), 240) AS snippet FROM documents WHERE trim(text) <> ''",
+    "SELECT doc_id, trim(regexp_replace(concat_ws(' ', nullif(trim(text, chr(9) || chr(10) || chr(13) || ' '), ''), source), '\\s+', ' ', 'g')) AS snippet FROM documents",
 )
 def snippet(spark, sf):
-    docs = rel.table(spark, sf, "documents").filter(F.trim("text") != "")
-    return docs.select("doc_id", t.snippet(F.col("text"), F.col("source")).alias("snippet"))
+    return rel.table(spark, sf, "documents").select("doc_id", t.snippet(F.col("text"), F.col("source")).alias("snippet"))
 
 
 @query(

@@ -51,13 +51,15 @@ def squeeze(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
-def snippet(*texts: Column, limit: int = dims.SNIPPET_CHARS) -> Column:
+def snippet(*texts: Column, limit: int | None = None) -> Column:
     joined = F.concat_ws(" ", *[non_blank(t) for t in texts])
-    return F.left(squeeze(joined), F.lit(limit))
+    return squeeze(joined) if limit is None else F.left(squeeze(joined), F.lit(limit))
 
 
-def truncate_text(text: Column, limit: int) -> Column:
+def truncate_text(text: Column, limit: int | None) -> Column:
     body = strip(F.coalesce(text, F.lit("")))
+    if limit is None:
+        return body
     cut = F.concat(F.left(body, F.lit(limit - 3)), F.lit("..."))
     return F.when(F.length(body) > limit, cut).otherwise(body)
 

@@ -617,7 +617,7 @@ def plan_repair_error(reply: Column) -> Column:
         banned = F.array_sort(
             F.array_intersect(F.map_keys(v.as_map(x)), F.array(*[F.lit(k) for k in dims.PATCH_STYLE_KEYS]))
         )
-        decision = t.truncate_text(v.content_text(v.get(x, "primary_decision")), 1500)
+        decision = t.truncate_text(v.content_text(v.get(x, "primary_decision")), None)
         hedge = t.ambiguous_phrase(decision)
         inside = _errors(
             F.when(F.size(banned) > 0, F.concat(at, F.lit("has patch keys "), F.array_join(banned, ", "))),

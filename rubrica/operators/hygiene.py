@@ -93,8 +93,8 @@ def hygiene_summary(issues: DataFrame) -> DataFrame:
     return issues.groupBy("rule", "severity").agg(F.count("*").alias("n"))
 
 
-def candidate_nodes(nodes: DataFrame, issues: DataFrame, first_n: int = 20) -> DataFrame:
-    """Nodes to ask a model about: those with a rule hit; in documents where no hit names a node, the first ones.
+def candidate_nodes(nodes: DataFrame, issues: DataFrame, first_n: int | None = None) -> DataFrame:
+    """Nodes to ask a model about: those with a rule hit; in documents where no hit names a node, all, or the first n.
 
     Documents without any hit need no request at all, so they give no rows.
     """
@@ -105,7 +105,9 @@ def candidate_nodes(nodes: DataFrame, issues: DataFrame, first_n: int = 20) -> D
     named = with_hit.select("doc_id").distinct()
     unnamed = issues.select("doc_id").distinct().join(named, "doc_id", "left_anti")
     rest = nodes.join(unnamed, "doc_id", "left_semi")
-    return with_hit.unionByName(ordering.top_rows(rest, ["doc_id"], [F.col("pos")], first_n).drop("__rank"))
+    if first_n is not None:
+        rest = ordering.top_rows(rest, ["doc_id"], [F.col("pos")], first_n).drop("__rank")
+    return with_hit.unionByName(rest)
 
 
 def spelling_request(nodes: DataFrame) -> DataFrame:

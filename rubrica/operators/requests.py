@@ -107,24 +107,26 @@ def first_specs(inter: DataFrame, spec: DataFrame) -> DataFrame:
     return inter.filter(F.col("itype") != "essay").join(first, ["doc_id", "item", "iid"])
 
 
-def plan_request(records: DataFrame) -> DataFrame:
-    """Record id, name, shortened question and answer, and the plan of each record (record_id, record)."""
+def plan_request(
+    records: DataFrame, question_chars: int | None = None, answer_chars: int | None = None
+) -> DataFrame:
+    """Record id, name, question and answer, whole unless a limit is given, and the plan of each record (record_id, record)."""
     record = F.col("record")
     name = F.coalesce(v.truthy_text(v.get(record, "_id")), v.truthy_text(v.get(record, "id")), F.lit(""))
     return records.select(
         "record_id",
         name.alias("given_id"),
         F.coalesce(v.text_of(v.get(record, "name")), F.lit("")).alias("record_name"),
-        t.truncate_text(v.content_text(v.get(record, "question")), dims.QUESTION_CHARS).alias("raw_question"),
-        t.truncate_text(v.content_text(v.get(record, "answer")), dims.ANSWER_CHARS).alias("raw_answer"),
+        t.truncate_text(v.content_text(v.get(record, "question")), question_chars).alias("raw_question"),
+        t.truncate_text(v.content_text(v.get(record, "answer")), answer_chars).alias("raw_answer"),
         v.get(record, "question_plan").alias("question_plan"),
     )
 
 
-def repair_context(issues: DataFrame, limit: int = dims.CONTEXT_CHARS) -> DataFrame:
+def repair_context(issues: DataFrame, limit: int | None = None) -> DataFrame:
     """The parts of a document one issue needs. issues: (doc_id, doc, category, location, …).
 
-    A missing part or a context over the limit makes the row unusable, it is never cut.
+    A missing part, or a context over the limit where one is given, makes the row unusable, it is never cut.
     """
     location = pointers.to_pointer(F.col("location"))
     given = (
@@ -138,11 +140,11 @@ def repair_context(issues: DataFrame, limit: int = dims.CONTEXT_CHARS) -> DataFr
     step = step.withColumn("parts", parts)
     missing = F.get(F.filter("parts", lambda x: x["value"].isNull()), F.lit(0))["path"]
     step = step.withColumns({"missing": missing, "context": F.to_json(F.col("parts"))})
-    error = (
-        F.when(~F.col("location").startswith("/"), "no_location")
-        .when(F.col("missing").isNotNull(), F.concat(F.lit("missing "), F.col("missing")))
-        .when(F.length("context") > limit, "too_long")
+    error = F.when(~F.col("location").startswith("/"), "no_location").when(
+        F.col("missing").isNotNull(), F.concat(F.lit("missing "), F.col("missing"))
     )
+    if limit is not None:
+        error = error.when(F.length("context") > limit, "too_long")
     return step.withColumn("context_error", error).drop("parts", "missing")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from rubrica import dims
 from rubrica.operators import consensus, contracts, flatten, hygiene, issues as issue_ops, repair, requests, rollup, rules_object, sequence
 from rubrica.session import cut_lineage
 
@@ -61,16 +60,29 @@ def judge_stage(docs: DataFrame, replies: DataFrame) -> DataFrame:
 
 
 def repair_rounds(docs: DataFrame, patches: DataFrame, max_loop: int = 1) -> DataFrame:
-    """At most three rounds of patches (doc_id, round, patches) on documents (doc_id, doc).
+    """At most `max_loop` rounds of patches (doc_id, round, patches) on documents (doc_id, doc).
 
-    Each round applies, validates and checks again; documents that fail or become good leave. Lineage is cut between
-    rounds, so a lost executor repeats one round at most.
+    Each round applies, validates and checks again; documents that fail or become good leave, and so do those for which
+    a later round has no patch: they end as repaired by the round before. Documents without a patch in the first round
+    are no part of it. Lineage is cut between rounds, so a lost executor repeats one round at most.
     """
-    limit = max(1, min(max_loop or 1, dims.MAX_ROUNDS))
+    if max_loop < 1:
+        raise ValueError("max_loop must be 1 or more")
+    limit = max_loop
     current = docs.select("doc_id", "doc")
     ended, last_good = [], None
     for number in range(1, limit + 1):
         given = patches.filter(F.col("round") == number).select("doc_id", "patches")
+        if last_good is not None:
+            ended.append(
+                current.join(given.select("doc_id"), "doc_id", "left_anti").select(
+                    "doc_id",
+                    F.lit("no_patch").alias("stop_reason"),
+                    F.lit(number - 1).alias("loop_count"),
+                    F.lit("repaired").alias("repair_status"),
+                    F.col("doc").alias("new_doc"),
+                )
+            )
         outcome = cut_lineage(repair.repair_round(current, given))  # also what the next round starts from
         failed = outcome.filter(F.col("repair_status") != "repaired")
         good = outcome.filter((F.col("repair_status") == "repaired") & F.col("recheck_good"))

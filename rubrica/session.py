@@ -45,12 +45,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint()
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a table that comes in fewer partitions than there are cores out to all of them.
-
-    Meant for small inputs of row-local work, such as one file of one row group. Larger tables stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -15,7 +15,7 @@ QUICK = """
     missing_minus_present plan_totals drop_metadata_issues canonical_issues dedupe_issues issue_order solution_gate
     select_repair_issue normalize_issues hygiene_summary math_roundtrip transition_stages split_lossless split_order
     check_transitions reconcile_judges judge_with_fallback reconcile_resolver choose_plan_reply resolver_contract repair_contract
-    apply_replace apply_remove apply_add repair_decision latest_candidate stop_reason quality_summary report_summary report_rows
+    apply_replace apply_remove apply_add repair_rounds candidate_nodes plan_request snippet public_result repair_decision latest_candidate stop_reason quality_summary report_summary report_rows
 """.split()
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("RUBRICA_ALL") else QUICK
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from rubrica.llm.common import utf8
 from rubrica.llm.encoding import byte_encoder
+from rubrica.session import cut_lineage
 
 #: Lengths in a block of the suffix sums.
 BLOCK = 4096
@@ -41,7 +42,7 @@ def _lengths(path: str | None):
 def histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(n_tokens, n_docs): how many documents have each length. path names the tokenizer's file as executors see it."""
     counted = docs.select(utf8().alias("text")).mapInArrow(_lengths(path), "n_tokens long, n_docs long")
-    return counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return cut_lineage(counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")))  # read twice, encoded once
 
 
 def context_table(lengths: DataFrame) -> DataFrame:

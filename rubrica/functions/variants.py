@@ -122,10 +122,11 @@ def content_text(value: Column) -> Column:
     """All display text of a value in reading order, joined by blanks.
 
     Every list or object is replaced in place by its members until only texts are left. The nesting of a tree is not
-    more than the brackets of its JSON, which bounds the rounds exactly.
+    more than the brackets of its JSON nor than what the parser reads, so rounds do not grow with the number of blocks.
     """
     # An entry is read once it has a text; its type must allow that from the start, so the first one has none.
-    rounds = F.length(F.regexp_replace(F.to_json(value), r"[^\[{]", "")) + 1
+    brackets = F.length(F.regexp_replace(F.to_json(value), r"[^\[{]", ""))
+    rounds = F.least(brackets, F.lit(MAX_NESTING)) + 1
     no_node, no_text = F.lit(None).cast("variant"), F.lit(None).cast("string")
 
     def entry(node: Column, text: Column) -> Column:

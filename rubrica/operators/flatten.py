@@ -12,12 +12,6 @@ from rubrica.functions.expressions import built_once
 from rubrica.functions.text import bind, strip
 
 
-def _explode(df: DataFrame, array: Column, pos: str, value: str) -> DataFrame:
-    return df.select(
-        *[c for c in df.columns if c != value], F.posexplode(array).alias(pos, value)
-    )
-
-
 def items(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id",

@@ -132,9 +132,3 @@ def spelling_merge(rule_issues: DataFrame, reply_issues: DataFrame) -> DataFrame
     return ordering.first_rows(
         merged, ["doc_id", "location", "reason"], [F.col("turn"), F.col("pos")], cols
     )
-
-
-def check_text(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rule issues of text nodes, and the request rows they call for."""
-    issues = text_hygiene(nodes)
-    return issues, spelling_request(candidate_nodes(nodes, issues))

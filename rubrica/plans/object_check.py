@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from rubrica.operators import consensus, contracts, flatten, hygiene, issues as issue_ops, repair, requests, rollup, rules_object, sequence
+from rubrica.operators import consensus, contracts, flatten, issues as issue_ops, repair, requests, rules_object, sequence
 from rubrica.session import cut_lineage
 
 
@@ -108,15 +108,3 @@ def repair_rounds(docs: DataFrame, patches: DataFrame, max_loop: int = 1) -> Dat
     for more in ended[1:]:
         result = result.unionByName(more)
     return result
-
-
-def summarize(docs: DataFrame, issues: DataFrame, strict: bool = True) -> DataFrame:
-    """Status of each document with whether its issues block it."""
-    statuses = rollup.result_status(docs.select("doc_id"), issues)
-    blocked = issue_ops.blocking_documents(issues, strict)
-    return statuses.join(blocked, "doc_id", "left").withColumn("is_good", F.col("n_blocking").isNull()).drop("n_blocking")
-
-
-def check_texts(docs: DataFrame) -> DataFrame:
-    """Hygiene issues of all text nodes of the documents."""
-    return hygiene.text_hygiene(flatten.text_nodes(docs))

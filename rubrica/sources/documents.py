@@ -10,10 +10,10 @@ from rubrica.operators.flatten import document_id
 BOM = "\ufeff"
 
 
-def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
     """Payloads as (batch_id, payload VARIANT), NULL where the text is no JSON.
 
-    A payload is a whole file, or with `lines` one line; only the latter splits a large file over tasks.
+    A payload is one line, so that large files are split over tasks, or without `lines` a whole file.
     """
     raw = spark.read.text(path, wholetext=not lines)
     body = F.regexp_replace("value", f"^{BOM}", "")

@@ -257,7 +257,7 @@ def test_read_unwrap_write(spark, tmp_path):
     (tmp_path / "in" / "a.json").write_text("﻿" + json.dumps([choice_object(), 3]), encoding="utf-8")
     (tmp_path / "in" / "b.json").write_text(json.dumps({"_id": "w", "generatedQuestions": []}), encoding="utf-8")
     (tmp_path / "in" / "c.json").write_text("not json", encoding="utf-8")
-    payloads = documents.read_documents(spark, str(tmp_path / "in"))
+    payloads = documents.read_documents(spark, str(tmp_path / "in"), lines=False)
     docs = documents.unwrap_payload(payloads)
     assert sorted((r.pos, r.id, r.is_object) for r in docs.collect()) == [(0, "q1", True), (1, "item[1]", False)]
     assert documents.check_batch(payloads.select("batch_id"), docs).count() == 2

@@ -76,7 +76,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     onward = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
     plan = plan.withColumn("level", (F.lit(share) * F.sum("source_size").over(everything) - before) / onward)
-    level = F.coalesce(F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything), F.lit(0.0))
+    # Levels fall from the first source that is not saturated on, so the largest that fits is that source's.
+    level = F.coalesce(F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything), F.lit(0.0))
     shapes = F.array(*(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("t0", "w0", "slope", "before"), p))) for p in segments(s))) for s in schedules))
     return plan.withColumn("target", F.least("cap", F.col("weight") * level)).select(
         "key", "source_size", "target", F.element_at(shapes, (F.pmod("kind", F.lit(len(schedules))) + 1).cast("int")).alias("pieces")

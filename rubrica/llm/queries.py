@@ -85,7 +85,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
             onward AS (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
     t AS (
         SELECT source, source_size,
-            least(2.0::DOUBLE * source_size, weight * coalesce((SELECT min(level) FROM r WHERE level <= ratio), 0.0::DOUBLE)) AS target
+            least(2.0::DOUBLE * source_size, weight * coalesce((SELECT max(level) FROM r WHERE level <= ratio), 0.0::DOUBLE)) AS target
         FROM r),
     c AS (
         SELECT doc_id, size, source_size, target,

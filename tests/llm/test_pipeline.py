@@ -51,7 +51,7 @@ def test_mixing(spark, docs):
     taken = {d: (t, n) for d, n, _, _, t in mixed([(r[0], r[3], r[1]) for r in rows(docs)])}
     assert set(got) <= set(taken)
     for d, (t, n) in taken.items():
-        assert abs(got[d] - t / n) <= 0.5 if n else got[d] == 1
+        assert (abs(got[d] - t / n) <= 0.5) if n else (got[d] == 1), (d, t, n, got[d])
 
 
 def test_whole_run(spark):

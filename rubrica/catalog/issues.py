@@ -49,8 +49,7 @@ def blocking_lenient(spark, sf):
     rel.object_sql("SELECT k AS doc_id FROM d WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.k = d.k AND f.severity = 'bad')"),
 )
 def structural_gate(spark, sf):
-    docs = rel.objects(spark, sf)
-    return ops.structural_gate(docs.select("doc_id"), rules_object.check_object(docs))
+    return rules_object.clear_documents(rel.objects(spark, sf)).select("doc_id")
 
 
 def manual_issues(spark, sf):

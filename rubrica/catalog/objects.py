@@ -37,7 +37,7 @@ ROLLUP_SQL = (
 
 @query("check_object_rollup", rel.object_sql(ROLLUP_SQL))
 def check_object_rollup(spark, sf):
-    return rules_object.check_object_rollup(*checked(spark, sf))
+    return rules_object.check_object_rollup(rel.objects(spark, sf))
 
 
 @query(
@@ -48,7 +48,7 @@ def check_object_rollup(spark, sf):
     ),
 )
 def check_objects_summary(spark, sf):
-    return rules_object.check_objects_summary(rules_object.check_object_rollup(*checked(spark, sf)))
+    return rules_object.check_objects_summary(rules_object.check_object_rollup(rel.objects(spark, sf)))
 
 
 @query(
@@ -59,7 +59,7 @@ def check_objects_summary(spark, sf):
     ),
 )
 def payload_counts(spark, sf):
-    return rules_object.payload_counts(*checked(spark, sf))
+    return rules_object.payload_counts(rel.objects(spark, sf))
 
 
 @query(

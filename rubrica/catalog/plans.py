@@ -38,14 +38,14 @@ def plan_check_issues(spark, sf):
     "plan_check_rollup",
     rel.plan_sql(
         "SELECT d.k AS record_id, n IS NULL AS structural_valid, CASE WHEN n IS NULL THEN 'structural_ok' ELSE 'structural_error' END AS status, "
-        "coalesce(types[1], '') AS structural_error_type, coalesce(array_to_string(messages[1:5], '; '), '') AS reason, "
-        "coalesce(array_to_string(lines[1:8], '; '), '') AS evidence, coalesce(n, 0) AS n_issues FROM d LEFT JOIN "
+        "coalesce(types[1], '') AS structural_error_type, coalesce(array_to_string(messages, '; '), '') AS reason, "
+        "coalesce(array_to_string(lines, '; '), '') AS evidence, coalesce(n, 0) AS n_issues FROM d LEFT JOIN "
         f"(SELECT k, count(*) AS n, list({ERROR_TYPE} ORDER BY ord) AS types, list({MESSAGE} ORDER BY ord) AS messages, "
         f"list(field || ': ' || {MESSAGE} ORDER BY ord) AS lines FROM found GROUP BY k) f ON f.k = d.k"
     ),
 )
 def plan_check_rollup(spark, sf):
-    return rules_plan.plan_check_rollup(*checked(spark, sf))
+    return rules_plan.plan_check_rollup(rel.plan_records(spark, sf))
 
 
 @query(
@@ -56,8 +56,7 @@ def plan_check_rollup(spark, sf):
     ),
 )
 def plan_structure_report(spark, sf):
-    records, issues = checked(spark, sf)
-    return rules_plan.plan_structure_report(rules_plan.plan_check_rollup(records, issues), issues)
+    return rules_plan.plan_structure_report(rel.plan_records(spark, sf))
 
 
 @query(
@@ -452,9 +451,9 @@ def normalize_plan_eval(spark, sf):
 )
 def structural_rows(spark, sf):
     """Prefilled rows of records with a bad structure, and of records whose question is blank."""
-    records, issues = checked(spark, sf)
+    records = rel.plan_records(spark, sf)
     cols = ["record_id", "overall_status", "coverage_status"]
-    bad = contracts.structural_rows(records, rules_plan.plan_check_rollup(records, issues)).select(*cols)
+    bad = contracts.structural_rows(records, rules_plan.plan_check_rollup(records)).select(*cols)
     blank = records.filter(v.content_text(v.get(F.col("record"), "question")) == "")
     return bad.unionByName(contracts.skipped_rows(blank).select(*cols))
 

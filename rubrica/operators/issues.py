@@ -206,12 +206,6 @@ def select_repair_issue(issues: DataFrame) -> DataFrame:
     )
 
 
-def structural_gate(documents: DataFrame, issues: DataFrame) -> DataFrame:
-    """Documents without any bad structural issue; only these go on to the model stages."""
-    bad = issues.filter(F.col("severity") == "bad").select("doc_id").distinct()
-    return documents.join(bad, "doc_id", "left_anti")
-
-
 def fail_closed(replies: DataFrame) -> DataFrame:
     """One runtime issue for each reply that could not be used; `error` says why."""
     return replies.filter(F.col("error").isNotNull()).select(

@@ -232,7 +232,7 @@ def repeats_text(options: Column) -> Column:
 
 
 def _interaction_findings(base: Column, item_pos: Column, repeats: Column):
-    """Rules of one interaction. `repeats` tells whether its id came before in the document."""
+    """Rules of one interaction. `repeats` lists the places whose id came before in the document."""
 
     def one(x: Column) -> Column:
         here = _join(base, "/interactions/", x["j"])
@@ -240,7 +240,7 @@ def _interaction_findings(base: Column, item_pos: Column, repeats: Column):
         at_options = _join(here, "/config/options")
         choice = x["nested"] & x["itype"].isin(dims.CHOICE_TYPES)
         rule = F.when(choice, option_rule(x["options"]))
-        again = F.element_at(repeats, _join(item_pos, "/", x["j"])) == F.lit(True)
+        again = F.array_contains(repeats, _join(item_pos, "/", x["j"]))
         return _list(
             _finding(~x["nested"], "G19", here, [*at, 0]),
             _finding(x["nested"] & (x["iid"] == ""), "G20", here, [*at, 1]),
@@ -355,164 +355,181 @@ def _spec_findings(base: Column, item_pos: Column, inter: Column, ids: Column):
     return one
 
 
-@built_once
-def _stages() -> dict[str, object]:
-    """The expressions of `check_object`, by the step that uses them."""
-    doc = F.col("doc")
-    listed = v.elements(v.get(doc, "questionItems"))
-
-    # Every use of an interaction id in a document, as its place "item/interaction" and the id.
-    places = F.flatten(
+def _repeated_places(items: Column) -> Column:
+    """The places "item/interaction" of a document whose interaction id came before: sorted by id, not the first of it."""
+    used = F.flatten(
         F.transform(
-            listed,
+            items,
             lambda item, i: F.filter(
                 F.transform(
                     v.elements(v.get(item, "interactions")),
                     lambda x, j: F.struct(
-                        _join(i, "/", j).alias("place"), v.first_text(x, "id", "_id", "interactionId").alias("iid")
+                        v.first_text(x, "id", "_id", "interactionId").alias("iid"), i.alias("i"), j.alias("j")
                     ),
                 ),
                 lambda p: p["iid"] != "",
             ),
         )
     )
-    prepared = {
-        "items": listed,
-        "doc_specs": v.elements(v.get(doc, "answerSpecs")),
-        "has_solution": v.truthy_text(v.get(doc, "solutions")).isNotNull(),
-        "doc_rubric": _has_rubric(doc),
-        "places": F.coalesce(places, F.array().cast("array<struct<place:string,iid:string>>")),
-    }
-    ids = F.transform(F.col("places"), lambda p: p["iid"])
-    repeats_map = F.map_from_entries(
-        F.transform(F.col("places"), lambda p, n: F.struct(p["place"], F.array_position(ids, p["iid"]) < n + 1))
-    )
-    instruction = v.get(doc, "instruction")
-    no_items = F.size("items") == 0
-    document_findings = F.concat(
+
+    def later(places: Column) -> Column:
+        again = F.filter(places, lambda p, n: (n > 0) & (p["iid"] == F.get(places, n - 1)["iid"]))
+        return F.transform(again, lambda p: _join(p["i"], "/", p["j"]))
+
+    return F.coalesce(bind(F.array_sort(used), later), F.array().cast("array<string>"))
+
+
+def _document_findings(doc: Column, items: Column) -> Column:
+    instruction, solutions = v.get(doc, "instruction"), v.get(doc, "solutions")
+    no_items = F.size(items) == 0
+    return F.concat(
         _list(_finding(v.absent(instruction), "G02", "/instruction", [0])),
         block_findings(instruction, F.lit("/instruction"), [0]),
         F.when(
-            ~v.absent(v.get(doc, "solutions")) & ~v.is_array(v.get(doc, "solutions")),
-            _list(_finding(F.lit(True), "G09", "/solutions", [1])),
-        ).otherwise(_spread(v.elements(v.get(doc, "solutions")), _solution_findings)),
+            ~v.absent(solutions) & ~v.is_array(solutions), _list(_finding(F.lit(True), "G09", "/solutions", [1]))
+        ).otherwise(_spread(v.elements(solutions), _solution_findings)),
         _list(
             _finding(no_items, "G11", "/questionItems", [2, 0]),
             _finding(no_items & v.absent(instruction), "G12", "", [2, 1]),
         ),
     )
-    not_object = _list(_finding(~v.is_object(doc), "G01", _join("/item/", F.col("index")), [0]))
-    of_document = F.when(v.is_object(doc), document_findings).otherwise(not_object)
-
-    # The document itself takes slot 0 of its items, so that everything is one generator over one scan.
-    slots = F.concat(F.array(F.to_variant_object(F.array(F.lit(0)))), F.col("items"))
-    item, pos = F.col("item"), F.col("item_pos")
-    base = _join("/questionItems/", pos)
-    typed = {
-        "inter": F.transform(v.elements(v.get(item, "interactions")), _interaction_struct),
-        "specs": F.transform(
-            F.concat(v.elements(v.get(item, "answerSpecs")), F.col("doc_specs")), _spec_struct
-        ),
-    }
-    inter, specs, repeats_col = F.col("inter"), F.col("specs"), F.col("repeats")
-    new_here = lambda x: ~F.coalesce(
-        F.element_at(repeats_col, _join(pos, "/", x["j"])), F.lit(False)
-    )
-    linked = {
-        "owned": F.array_distinct(
-            F.transform(
-                F.filter(inter, lambda x: x["nested"] & (x["iid"] != "") & new_here(x)), lambda x: x["iid"]
-            )
-        ),
-        "refs": F.transform(F.filter(specs, lambda s: s["nested"]), lambda s: s["ref"]),
-        "graded": (F.size("specs") > 0) | F.col("doc_rubric") | _has_rubric(item) | F.col("has_solution"),
-    }
-    owned, refs, graded = F.col("owned"), F.col("refs"), F.col("graded")
 
-    def last_type(iid: Column) -> Column:
-        same = F.filter(inter, lambda x: x["nested"] & (x["iid"] == iid))
-        return F.get(same, F.size(same) - 1)["itype"]
 
-    def missing_spec(iid: Column, n: Column) -> Column:
-        finding = lambda itype: _list(
-            _finding(
-                ~((itype == "essay") & graded),
-                "G31",
-                _join(base, "/answerSpecs"),
-                [F.lit(3), pos, F.lit(5), n],
-                iid,
-                F.when(itype.isin("essay", "short_answer"), "needs_review"),
+def _item_findings(of: Column):
+    """Rules of one item. `of` holds what its document gives all items: specs, has_solution, rubric, repeats."""
+
+    def one(item: Column, pos: Column) -> Column:
+        base = _join("/questionItems/", pos)
+        hints, stem = v.get(item, "hints"), v.get(item, "stem")
+        top = F.concat(
+            _list(
+                _finding(v.first_text(item, "id") == "", "G14", _join(base, "/id"), [F.lit(3), pos, F.lit(0)]),
+                _finding(v.absent(stem), "G15", _join(base, "/stem"), [F.lit(3), pos, F.lit(1)]),
+            ),
+            block_findings(stem, _join(base, "/stem"), [F.lit(3), pos, F.lit(2)]),
+            F.when(
+                ~v.absent(hints) & ~v.is_array(hints),
+                _list(_finding(F.lit(True), "G16", _join(base, "/hints"), [F.lit(3), pos, F.lit(3)])),
+            ).otherwise(_spread(v.elements(hints), _hint_findings(base, pos))),
+        )
+        short_stem = F.length(v.content_text(stem)) < MIN_ESSAY_STEM
+
+        def lower(t: Column) -> Column:
+            inter, specs, owned, refs, graded = (t[k] for k in ("inter", "specs", "owned", "refs", "graded"))
+
+            def missing_spec(iid: Column, n: Column) -> Column:
+                same = F.filter(inter, lambda x: x["nested"] & (x["iid"] == iid))
+                finding = lambda itype: _list(
+                    _finding(
+                        ~((itype == "essay") & graded),
+                        "G31",
+                        _join(base, "/answerSpecs"),
+                        [F.lit(3), pos, F.lit(5), n],
+                        iid,
+                        F.when(itype.isin("essay", "short_answer"), "needs_review"),
+                    )
+                )
+                last_type = bind(same, lambda s: F.get(s, F.size(s) - 1)["itype"])
+                return F.when(F.array_contains(refs, iid), NOTHING()).otherwise(bind(last_type, finding))
+
+            def essay(x: Column) -> Column:
+                at = [F.lit(3), pos, F.lit(7), x["j"]]
+                return F.when(
+                    x["nested"] & (x["itype"] == "essay"),
+                    _list(
+                        _finding(short_stem, "G46", _join(base, "/stem"), [*at, 0]),
+                        _finding(~graded, "G47", _join(base, "/interactions/", x["j"]), [*at, 1]),
+                    ),
+                ).otherwise(NOTHING())
+
+            return F.when(
+                F.size(inter) == 0,
+                _list(_finding(F.lit(True), "G18", _join(base, "/interactions"), [F.lit(3), pos, F.lit(4)])),
+            ).otherwise(
+                F.concat(
+                    _spread(inter, _interaction_findings(base, pos, of["repeats"])),
+                    _spread(owned, missing_spec),
+                    _spread(specs, _spec_findings(base, pos, inter, owned)),
+                    _spread(inter, essay),
+                )
+            )
+
+        def linked(t: Column) -> Column:
+            """The item's interactions and specs with the ids it owns, the ids its specs name, and whether it is graded."""
+            inter, own = t["inter"], t["own"]
+            shared = F.transform(of["specs"], lambda s: s.withField("k", s["k"] + F.size(own)))
+            new_here = lambda x: ~F.array_contains(of["repeats"], _join(pos, "/", x["j"]))
+            fresh = F.filter(inter, lambda x: x["nested"] & (x["iid"] != "") & new_here(x))
+            return bind(
+                F.concat(own, shared),
+                lambda specs: bind(
+                    F.struct(
+                        inter.alias("inter"),
+                        specs.alias("specs"),
+                        F.array_distinct(F.transform(fresh, lambda x: x["iid"])).alias("owned"),
+                        F.transform(F.filter(specs, lambda s: s["nested"]), lambda s: s["ref"]).alias("refs"),
+                        ((F.size(specs) > 0) | of["rubric"] | _has_rubric(item) | of["has_solution"]).alias("graded"),
+                    ),
+                    lower,
+                ),
             )
+
+        typed = F.struct(
+            F.transform(v.elements(v.get(item, "interactions")), _interaction_struct).alias("inter"),
+            F.transform(v.elements(v.get(item, "answerSpecs")), _spec_struct).alias("own"),
+        )
+        return F.when(~v.is_object(item), _list(_finding(F.lit(True), "G13", base, [F.lit(3), pos]))).otherwise(
+            F.concat(top, bind(typed, linked))
         )
-        return F.when(F.array_contains(refs, iid), NOTHING()).otherwise(bind(last_type(iid), finding))
 
-    short_stem = F.length(v.content_text(v.get(item, "stem"))) < MIN_ESSAY_STEM
+    return one
 
-    def essay_findings(x: Column) -> Column:
-        at = [F.lit(3), pos, F.lit(7), x["j"]]
-        return F.when(
-            x["nested"] & (x["itype"] == "essay"),
-            _list(
-                _finding(short_stem, "G46", _join(base, "/stem"), [*at, 0]),
-                _finding(~graded, "G47", _join(base, "/interactions/", x["j"]), [*at, 1]),
-            ),
-        ).otherwise(NOTHING())
 
-    hints, stem = v.get(item, "hints"), v.get(item, "stem")
-    top = F.concat(
-        _list(
-            _finding(v.first_text(item, "id") == "", "G14", _join(base, "/id"), [F.lit(3), pos, F.lit(0)]),
-            _finding(v.absent(stem), "G15", _join(base, "/stem"), [F.lit(3), pos, F.lit(1)]),
-        ),
-        block_findings(stem, _join(base, "/stem"), [F.lit(3), pos, F.lit(2)]),
-        F.when(
-            ~v.absent(hints) & ~v.is_array(hints),
-            _list(_finding(F.lit(True), "G16", _join(base, "/hints"), [F.lit(3), pos, F.lit(3)])),
-        ).otherwise(_spread(v.elements(hints), _hint_findings(base, pos))),
-    )
-    lower = F.when(
-        F.size("inter") == 0,
-        _list(_finding(F.lit(True), "G18", _join(base, "/interactions"), [F.lit(3), pos, F.lit(4)])),
-    ).otherwise(
-        F.concat(
-            _spread(inter, _interaction_findings(base, pos, repeats_col)),
-            _spread(owned, missing_spec),
-            _spread(specs, _spec_findings(base, pos, inter, owned)),
-            _spread(inter, essay_findings),
+@built_once
+def _found() -> Column:
+    """All findings of a document (doc VARIANT, index) as one list: its own, then those of its items."""
+    doc = F.col("doc")
+
+    def of_items(items: Column) -> Column:
+        shared = F.struct(
+            F.transform(v.elements(v.get(doc, "answerSpecs")), _spec_struct).alias("specs"),
+            v.truthy_text(v.get(doc, "solutions")).isNotNull().alias("has_solution"),
+            _has_rubric(doc).alias("rubric"),
+            _repeated_places(items).alias("repeats"),
         )
-    )
-    found = (
-        F.when(F.col("slot") == 0, F.col("found"))
-        .when(~v.is_object(item), _list(_finding(F.lit(True), "G13", base, [F.lit(3), pos])))
-        .otherwise(F.concat(top, lower))
-    )
-    return {
-        "prepared": prepared,
-        "repeats": repeats_map,
-        "document": of_document,
-        "slots": F.posexplode(slots).alias("slot", "item"),
-        "typed": typed,
-        "linked": linked,
-        "found": F.explode(found).alias("f"),
-    }
+        own = F.when(v.is_object(doc), _document_findings(doc, items)).otherwise(
+            _list(_finding(F.lit(True), "G01", _join("/item/", F.col("index")), [0]))
+        )
+        return F.concat(own, bind(shared, lambda of: _spread(items, _item_findings(of))))
+
+    return bind(v.elements(v.get(doc, "questionItems")), of_items)
+
+
+def object_findings(docs: DataFrame) -> DataFrame:
+    """Documents with all their findings as a list `found` in their own row; nothing is shuffled."""
+    indexed = docs if "index" in docs.columns else docs.withColumn("index", F.lit(0))
+    return indexed.withColumn("found", _found())
 
 
 def check_object(docs: DataFrame) -> DataFrame:
     """All structural issues of each document (doc_id, doc VARIANT [, index]), in document order by `ord`."""
-    step = _stages()
-    if "index" not in docs.columns:
-        docs = docs.withColumn("index", F.lit(0))
-    of_document = (
-        docs.select("doc_id", "doc", "index")
-        .withColumns(step["prepared"])
-        .withColumns({"repeats": step["repeats"], "found": step["document"]})
-    )
-    keep = ["doc_id", "found", "doc_specs", "has_solution", "doc_rubric", "repeats"]
-    items = of_document.select(*keep, step["slots"]).withColumn("item_pos", F.col("slot") - 1)
-    findings = items.withColumns(step["typed"]).withColumns(step["linked"]).select("doc_id", step["found"])
+    # An inner explode would add a test of the list's size below, where the list would be made a second time.
+    findings = object_findings(docs).select("doc_id", F.explode_outer("found").alias("f")).where("f IS NOT NULL")
     return as_issues(findings.select("doc_id", "f.*"))
 
 
+def _graded_bad(f: Column) -> Column:
+    return F.coalesce(f["severity"], text.lookup({code: r[0] for code, r in RULES.items()}, f["rule"])) == "bad"
+
+
+def clear_documents(docs: DataFrame) -> DataFrame:
+    """The documents without any bad issue; only these go on to the model stages."""
+    indexed = docs if "index" in docs.columns else docs.withColumn("index", F.lit(0))
+    # A generated column: a filter on a plain one would be moved below what builds `doc`, and repeat that for every use.
+    clear = F.explode_outer(F.array(~F.exists(_found(), _graded_bad)))
+    return indexed.select(*docs.columns, clear.alias("__clear")).where("__clear").select(docs.columns)
+
+
 def as_issues(findings: DataFrame) -> DataFrame:
     """Findings (rule, location, detail, severity, ord) with the texts and grades of their rules."""
     rule = F.col("rule")
@@ -533,38 +550,23 @@ def as_issues(findings: DataFrame) -> DataFrame:
     )
 
 
-def object_counts(docs: DataFrame) -> DataFrame:
-    """Items and interactions of each document; elements that are not objects count as the report counts them."""
+def _counts() -> list[Column]:
+    """Items and interactions of a document; elements that are not objects count as the report counts them."""
     listed = v.elements(v.get(F.col("doc"), "questionItems"))
     inner = F.transform(listed, lambda i: v.elements(v.get(i, "interactions")))
-    return docs.select(
-        "doc_id",
+    zero = F.lit(0).cast("bigint")
+    return [
         F.size(listed).cast("bigint").alias("n_items"),
-        F.aggregate(inner, F.lit(0).cast("bigint"), lambda n, x: n + F.size(x)).alias("n_interactions"),
-        F.aggregate(
-            inner, F.lit(0).cast("bigint"), lambda n, x: n + F.size(F.filter(x, v.is_object))
-        ).alias("n_object_interactions"),
-    )
+        F.aggregate(inner, zero, lambda n, x: n + F.size(x)).alias("n_interactions"),
+        F.aggregate(inner, zero, lambda n, x: n + F.size(F.filter(x, v.is_object))).alias("n_object_interactions"),
+    ]
 
 
-def check_object_rollup(docs: DataFrame, issues: DataFrame) -> DataFrame:
+def check_object_rollup(docs: DataFrame) -> DataFrame:
     """Per document: validity and the numbers of items, interactions, issues and bad issues."""
-    found = issues.groupBy("doc_id").agg(
-        F.count("*").alias("n_issues"), F.count_if(F.col("severity") == "bad").alias("n_bad")
-    )
-    zero = F.lit(0).cast("bigint")
-    return (
-        object_counts(docs)
-        .join(found, "doc_id", "left")
-        .select(
-            "doc_id",
-            "n_items",
-            "n_interactions",
-            F.coalesce("n_issues", zero).alias("n_issues"),
-            F.coalesce("n_bad", zero).alias("n_bad"),
-            (F.coalesce("n_bad", zero) == 0).alias("valid"),
-        )
-    )
+    n_bad = F.size(F.filter("found", _graded_bad)).cast("bigint")
+    counted = object_findings(docs).select("doc_id", *_counts(), F.size("found").cast("bigint").alias("n_issues"), n_bad.alias("n_bad"))
+    return counted.select("doc_id", "n_items", "n_interactions", "n_issues", "n_bad", (F.col("n_bad") == 0).alias("valid"))
 
 
 def check_objects_summary(rollup: DataFrame) -> DataFrame:
@@ -579,13 +581,15 @@ def check_objects_summary(rollup: DataFrame) -> DataFrame:
     )
 
 
-def payload_counts(docs: DataFrame, issues: DataFrame) -> DataFrame:
-    counts = object_counts(docs).agg(
+def payload_counts(docs: DataFrame) -> DataFrame:
+    counted = object_findings(docs).select(*_counts(), F.size("found").alias("n_found"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return counted.agg(
         F.count("*").alias("n_docs"),
-        F.coalesce(F.sum("n_items"), F.lit(0)).alias("n_items"),
-        F.coalesce(F.sum("n_object_interactions"), F.lit(0)).alias("n_interactions"),
+        total("n_items").alias("n_items"),
+        total("n_object_interactions").alias("n_interactions"),
+        total("n_found").alias("n_issues"),
     )
-    return counts.join(issues.agg(F.count("*").alias("n_issues")))
 
 
 # --- the same integrity rules over stored relations -----------------------------------------------------------

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from rubrica.operators import consensus, contracts, flatten, issues as issue_ops, repair, requests, rules_object, sequence
+from rubrica.operators import consensus, contracts, flatten, repair, requests, rules_object, sequence
 from rubrica.session import cut_lineage
 
 
 def structural_stage(docs: DataFrame) -> dict[str, DataFrame]:
     """Rule issues, and the judge requests of the documents without a bad one (doc_id, doc)."""
-    found = rules_object.check_object(docs)
-    clear = issue_ops.structural_gate(docs, found)
-    return {"issues": found, "requests": requests.judge_request(clear), "clear": clear}
+    clear = rules_object.clear_documents(docs)
+    return {"issues": rules_object.check_object(docs), "requests": requests.judge_request(clear), "clear": clear}
 
 
 def judge_stage(docs: DataFrame, replies: DataFrame) -> DataFrame:

@@ -9,14 +9,12 @@ from rubrica.operators import consensus, contracts, coverage, requests, rules_pl
 
 def structural_stage(records: DataFrame) -> dict[str, DataFrame]:
     """Rule issues and roll-up, prefilled rows of invalid records, and requests for the valid ones."""
-    issues = rules_plan.check_plan(records)
-    rollup = rules_plan.plan_check_rollup(records, issues)
-    valid = records.join(rollup.filter("structural_valid").select("record_id"), "record_id", "left_semi")
+    rollup = rules_plan.plan_check_rollup(records)
     return {
-        "issues": issues,
+        "issues": rules_plan.check_plan(records),
         "rollup": rollup,
         "prefilled": contracts.structural_rows(records, rollup),
-        "requests": requests.plan_request(valid),
+        "requests": requests.plan_request(rules_plan.valid_records(records)),
     }
 
 

@@ -118,7 +118,7 @@ def test_plan_rules(spark):
     for r in found.orderBy("record_id", "ord").collect():
         got[r.record_id].append(r.rule)
     assert got == {k: e for k, (_, e) in PLANS.items()}
-    rollup = rules_plan.plan_check_rollup(records, found)
+    rollup = rules_plan.plan_check_rollup(records)
     assert rollup.filter("structural_valid").count() == sum(not e for _, e in PLANS.values())
 
 

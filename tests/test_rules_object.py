@@ -145,11 +145,11 @@ def test_severity_and_location(found):
 
 def test_rollup_and_summary(spark):
     docs = variants(spark, [("a", choice_object()), ("b", c(["questionItems"], [])), ("c", c(["instruction"], None))])
-    issues = rules_object.check_object(docs)
-    rollup = rules_object.check_object_rollup(docs, issues)
+    rollup = rules_object.check_object_rollup(docs)
+    assert "Exchange" not in rollup._jdf.queryExecution().executedPlan().toString()
     got = {r.doc_id: (r.n_items, r.n_interactions, r.n_issues, r.n_bad, r.valid) for r in rollup.collect()}
     assert got == {"a": (1, 1, 0, 0, True), "b": (0, 0, 1, 1, False), "c": (1, 1, 1, 0, True)}
     total = rules_object.check_objects_summary(rollup).first()
     assert tuple(total) == (3, 2, 2, 2, 1, False)
-    counts = rules_object.payload_counts(docs, issues).first()
+    counts = rules_object.payload_counts(docs).first()
     assert tuple(counts) == (3, 2, 2, 2)

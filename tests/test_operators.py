@@ -120,6 +120,8 @@ def test_plan_rules(spark):
     assert got == {k: e for k, (_, e) in PLANS.items()}
     rollup = rules_plan.plan_check_rollup(records)
     assert rollup.filter("structural_valid").count() == sum(not e for _, e in PLANS.values())
+    assert {r.record_id for r in rules_plan.valid_records(records).collect()} == {k for k, (_, e) in PLANS.items() if not e}
+    assert "Exchange" not in rollup._jdf.queryExecution().executedPlan().toString()
 
 
 def test_strict_plan(spark):

@@ -11,7 +11,10 @@ meet by minimizer. Two windows with the same words have the same minimizer at th
 3. Marked windows return to their documents, whose words they cover are removed.
 
 Before runs are shuffled, each batch marks what it can: a run equal to one with a smaller coordinate in the same batch is
-settled there, so a passage that very many documents share sends one run from each batch.
+settled there, so a passage that very many documents share sends one run from each batch. Minimizers that occur more than
+OFTEN times (a frequent phrase, or the edges of a shared passage, where runs differ) are marked in a second bitmap; their
+runs are dealt out by window, each window to the task of its own hash, and a batch settles all but the first of each. So a
+task gets at most OFTEN runs of one minimizer, or one row of a window from each batch.
 
 Defined results: a null text has no words; a null doc_id counts as larger than all others; rows with the same doc_id
 are one document to the rule, so equal starts in them remove nothing; an empty table gives an empty result.
@@ -30,8 +33,10 @@ from pyspark.sql import functions as F
 from rubrica.llm.common import utf8, whole_groups
 
 WINDOW, KMER = 20, 6
-#: log2 of the bits of the map of repeated minimizers: 16 MB at any size of the input.
+#: log2 of the bits of each map of minimizers, of the repeated and of the frequent ones: 16 MB at any size of the input.
 BITS = 27
+#: Runs of a minimizer that occurs more often are dealt out by window.
+OFTEN = 4096
 LAST = (1 << 63) - 1
 REMEMBERED = 300_000
 
@@ -95,15 +100,18 @@ def _minimizers(window: int, kmer: int):
     return run
 
 
-def repeated_minimizers(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, bits: int = BITS) -> np.ndarray:
-    """The bitmap of minimizers that occur more than once, as bytes; its size depends on `bits` alone."""
+def repeated_minimizers(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, bits: int = BITS, often: int = OFTEN) -> np.ndarray:
+    """Two bitmaps as rows of bytes: minimizers that occur more than once, and more than `often` times. Their size
+    depends on `bits` alone."""
     counts = docs.select(utf8().alias("text")).mapInArrow(_minimizers(window, kmer), "m long, n long")
     repeated = counts.groupBy("m").agg(F.sum("n").alias("n")).where("n > 1")
     place = F.col("m").bitwiseAND(F.lit((1 << bits) - 1))
-    words = repeated.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(m & 63 AS INT)))").alias("set"))
-    out = np.zeros(1 << (bits - 6), np.int64)
-    found = words.toArrow()
-    out[found.column("word").to_numpy()] = found.column("set").to_numpy()
+    bit = "shiftleft(1L, CAST(m & 63 AS INT))"
+    maps = F.expr(f"bit_or({bit})").alias("repeated"), F.expr(f"bit_or(CASE WHEN n > {often} THEN {bit} ELSE 0L END)").alias("frequent")
+    found = repeated.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(*maps).toArrow()
+    out = np.zeros((2, 1 << (bits - 6)), np.int64)
+    for row, name in zip(out, ("repeated", "frequent")):
+        row[found.column("word").to_numpy()] = found.column(name).to_numpy()
     return out.view(np.uint8)
 
 
@@ -123,31 +131,54 @@ def _first_equal(rows, m, runs) -> tuple[list, list]:
     return sent, settled
 
 
+def _first_windows(h, doc, tag, pos):
+    """Of the windows of a batch, the rows (h, doc, tag, pos) to send, and stretches (doc, tag, pos, size) of the others, all
+    of which also start at a smaller coordinate in the batch. Rows that are repeated whole count once."""
+    order = np.lexsort((tag, pos, doc, h))
+    h, doc, tag, pos = (x[order] for x in (h, doc, tag, pos))
+    new = np.append(True, h[1:] != h[:-1])
+    same = np.append(False, ~new[1:] & (doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1]) & (tag[1:] == tag[:-1]))
+    of = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    later = (doc != doc[of]) | (pos != pos[of])
+    sent, rest = np.flatnonzero(~later & ~same), np.flatnonzero(later & ~same)
+    doc_, tag_, pos_ = (x[rest[np.lexsort((pos[rest], tag[rest], doc[rest]))]] for x in (doc, tag, pos))
+    start = np.flatnonzero(np.append(True, (np.diff(pos_) != 1) | (np.diff(tag_) != 0) | (np.diff(doc_) != 0))[: len(pos_)])
+    return (h[sent], doc[sent], tag[sent], pos[sent]), (doc_[start], tag_[start], pos_[start], np.diff(np.append(start, len(pos_))))
+
+
 def _runs(window: int, kmer: int, bits: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, held = _Reader(window, kmer), shared.value
+        reader, maps = _Reader(window, kmer), shared.value
         mask = np.uint64((1 << bits) - 1)
         for batch in batches:
-            ms, runs = [], []
+            ms, runs, single = [], [], []
             for doc, tag, text in zip(batch.column("doc").to_pylist(), batch.column("tag").to_pylist(), batch.column("text")):
                 if (found := reader.read(text.as_py())) is None:
                     continue
                 m, first, count, h = found
                 place = m & mask
-                may = (held[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                may, frequent = (maps[:, (place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
                 if may.any():
                     windows = reader.powers.rolling(h, window)
-                    for x, a, n in zip(m[may], first[may].tolist(), count[may].tolist()):
+                    few = may & ~frequent
+                    for x, a, n in zip(m[few], first[few].tolist(), count[few].tolist()):
                         ms.append(x)
                         runs.append((doc, tag, a, windows[a : a + n].tobytes()))
-            if not runs:
-                continue
+                    if frequent.any():
+                        at = np.flatnonzero(np.repeat(frequent, count))
+                        single.append((windows[at], np.full(len(at), doc, np.int64), np.full(len(at), tag, np.int64), at))
             order = sorted(range(len(runs)), key=lambda i: (runs[i][0], runs[i][2]))
             sent, settled = _first_equal(order, ms, runs)
             rows = [(int(ms[i].view(np.int64)), *runs[i][:3], 0, runs[i][3]) for i in sent]
-            rows += [(xxhash.xxh64_intdigest(b"%d" % runs[i][0]) >> 1, *runs[i][:3], len(runs[i][3]) // 8, b"") for i in settled]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["m", "doc", "tag", "pos", "marked", "hashes"])
+            gone = [(*runs[i][:3], len(runs[i][3]) // 8) for i in settled]
+            if single:
+                (h, *where), stretches = _first_windows(*(np.concatenate(c) for c in zip(*single)))
+                rows += [(m, *w, 0, m.to_bytes(8, "little", signed=True)) for m, *w in zip(h.view(np.int64).tolist(), *(c.tolist() for c in where))]
+                gone += zip(*(c.tolist() for c in stretches))
+            rows += [(xxhash.xxh64_intdigest(b"%d" % g[0]) >> 1, *g, b"") for g in gone]
+            if rows:
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["m", "doc", "tag", "pos", "marked", "hashes"])
 
     return run
 
@@ -199,12 +230,12 @@ def _cut(window: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, bits: int = BITS) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, bits: int = BITS, often: int = OFTEN) -> DataFrame:
     """(doc, tag, start, size): stretches of `size` windows, from word `start`, that also start earlier.
 
     doc is doc_id, or the largest long for null; tag is a hash of the text.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(repeated_minimizers(docs, window, kmer, bits))
+    shared = docs.sparkSession.sparkContext.broadcast(repeated_minimizers(docs, window, kmer, bits, often))
     runs = keyed(docs).select("doc", "tag", "text").mapInArrow(_runs(window, kmer, bits, shared), RUN)
     met = runs.repartition("m").sortWithinPartitions("m", "doc", "pos")
     return met.mapInArrow(_mark, "doc long, tag long, start int, size int")
@@ -215,10 +246,10 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), tag.alias("tag"), utf8().alias("text"))
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, bits: int = BITS) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, bits: int = BITS, often: int = OFTEN) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): the words of every document that stay, joined by spaces, in UTF-8."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = repeated_spans(docs, window, kmer, bits)
+    found = repeated_spans(docs, window, kmer, bits, often)
     marked = found.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     joined = keyed(docs).join(marked, ["doc", "tag"], "left").select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.size").alias("sizes"))
     return joined.mapInArrow(_cut(window), f"doc_id {kind}, n_words long, n_removed long, kept binary")

@@ -39,13 +39,24 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize("bits", [substrings.BITS, 6])
-def test_equals_brute_force(spark, bits):
+@pytest.mark.parametrize("bits, often", [(substrings.BITS, substrings.OFTEN), (6, 4096), (substrings.BITS, 1), (substrings.BITS, 20), (6, 20)])
+def test_equals_brute_force(spark, bits, often):
     data = rows()
     df = spark.createDataFrame([(d, t, 1) for d, t in data], "doc_id long, text string, doc int").repartition(5)
-    got = sorted((tuple(r)[:3] + (bytes(r.kept),) for r in substrings.without_repeats(df, bits=bits).collect()), key=repr)
+    got = sorted((tuple(r)[:3] + (bytes(r.kept),) for r in substrings.without_repeats(df, bits=bits, often=often).collect()), key=repr)
     assert got == brute(data)
 
 
 def test_empty_table(spark):
     assert substrings.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_frequent_minimizer_sends_one_row_of_a_window(spark):
+    """The edge of a passage that all documents share: runs differ, so none is settled whole, but windows are."""
+    shared = " ".join(f"s{i}" for i in range(30))
+    df = spark.createDataFrame([(i, " ".join(f"a{i}x{k}" for k in range(25)) + " " + shared) for i in range(400)], "doc_id long, text string").coalesce(1)
+    few, many = ([tuple(r) for r in substrings.without_repeats(df, often=often).select("doc_id", "n_words", "n_removed").collect()] for often in (1, 10_000))
+    assert sorted(few) == sorted(many) == [(i, 55, 30 if i else 0) for i in range(400)]
+    maps = spark.sparkContext.broadcast(substrings.repeated_minimizers(df, often=1))
+    runs = substrings.keyed(df).select("doc", "tag", "text").mapInArrow(substrings._runs(W, substrings.KMER, substrings.BITS, maps), substrings.RUN)
+    assert runs.where("marked = 0").groupBy("m").count().selectExpr("max(count)").first()[0] == 1

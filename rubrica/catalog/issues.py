@@ -53,16 +53,25 @@ def structural_gate(spark, sf):
 
 
 def manual_issues(spark, sf):
-    """As `issues`, with some solution problems left to a person."""
+    """As `issues`, with some solution problems left to a person, and documents whose solution problems are of another kind."""
     manual = (F.col("category") == "solution_quality") & (F.col("pos") % 4 == 0)
-    return rel.issues(spark, sf).withColumn("repair_intent", F.when(manual, dims.MANUAL).otherwise(F.col("repair_intent"))).filter(
-        (F.col("doc_id") % 3 != 0) | (F.col("category") != "solution_quality")
-    )
+    found = rel.issues(spark, sf).withColumn("repair_intent", F.when(manual, dims.MANUAL).otherwise(F.col("repair_intent")))
+    return relabelled(found, 3, "solution_quality", "pedagogical_quality")
+
+
+def relabelled(found, every, category, other):
+    """In every so many documents, issues of one category as issues of another, so that documents differ."""
+    there = (F.col("doc_id") % every == 0) & (F.col("category") == category)
+    return found.withColumn("category", F.when(there, other).otherwise(F.col("category")))
+
+
+def relabelled_sql(every, category, other, name):
+    return f"SELECT * REPLACE (CASE WHEN doc_id % {every} = 0 AND category = '{category}' THEN '{other}' ELSE category END AS category) FROM {name}"
 
 
 MANUAL_SQL = (
-    "SELECT doc_id, pos, severity, category, location, reason, suggestion, CASE WHEN category = 'solution_quality' AND pos % 4 = 0 "
-    "THEN 'needs_manual_review' ELSE repair_intent END AS repair_intent FROM issues WHERE doc_id % 3 <> 0 OR category <> 'solution_quality'"
+    "SELECT doc_id, pos, severity, CASE WHEN doc_id % 3 = 0 AND category = 'solution_quality' THEN 'pedagogical_quality' ELSE category END AS category, "
+    "location, reason, suggestion, CASE WHEN category = 'solution_quality' AND pos % 4 = 0 THEN 'needs_manual_review' ELSE repair_intent END AS repair_intent FROM issues"
 )
 
 
@@ -86,13 +95,14 @@ def solution_gate(spark, sf):
         "SELECT doc_id, pos, category, repair_intent FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tier, a, b, pos) AS n FROM ("
         f"SELECT *, CASE WHEN {rel.GATE} IS NOT NULL THEN 0 WHEN repair_intent IN ('align_fields_to_solution', 'align_hint_to_solution', "
         f"'clean_solution_reasoning', 'fix_schema') THEN 1 ELSE 2 END AS tier, coalesce({rel.GATE}, {rel.SEVERITY_RANK}) AS a, "
-        f"CASE WHEN {rel.GATE} IS NOT NULL THEN 0 ELSE {rel.CATEGORY_RANK} END AS b FROM mi WHERE doc_id % 4 <> 0 OR category <> 'runtime') x) t WHERE n = 1",
+        f"CASE WHEN {rel.GATE} IS NOT NULL THEN 0 ELSE {rel.CATEGORY_RANK} END AS b FROM mixed) x) t WHERE n = 1",
         mi=MANUAL_SQL,
+        mixed=relabelled_sql(4, "runtime", "render_schema", "mi"),
     ),
 )
 def select_repair_issue(spark, sf):
-    kept = manual_issues(spark, sf).filter((F.col("doc_id") % 4 != 0) | (F.col("category") != "runtime"))
-    return ops.select_repair_issue(kept).select("doc_id", "pos", "category", "repair_intent")
+    mixed = relabelled(manual_issues(spark, sf), 4, "runtime", "render_schema")
+    return ops.select_repair_issue(mixed).select("doc_id", "pos", "category", "repair_intent")
 
 
 @query(
@@ -198,15 +208,19 @@ def issue_order(spark, sf):
     "blocking_reasons",
     rel.with_sql(
         "issues",
-        "SELECT doc_id, kind, text, min(pos) AS pos FROM (SELECT doc_id, 'reason' AS kind, reason AS text, pos FROM issues WHERE severity = 'bad' "
-        "UNION ALL SELECT doc_id, 'suggestion', suggestion, pos FROM issues i WHERE doc_id IN (SELECT doc_id FROM issues WHERE severity = 'bad')) t "
+        "SELECT doc_id, kind, text, CAST(min([turn, pos])[1] AS INT) AS turn, min([turn, pos])[2] AS pos FROM ("
+        "SELECT doc_id, 'reason' AS kind, reason AS text, pos, 1 AS turn FROM issues WHERE severity = 'bad' "
+        "UNION ALL SELECT doc_id, 'suggestion', suggestion, pos, 1 FROM issues i WHERE doc_id IN (SELECT doc_id FROM issues WHERE severity = 'bad') "
+        "UNION ALL SELECT doc_id, 'reason', location, pos, 0 FROM issues UNION ALL SELECT doc_id, 'suggestion', suggestion, pos, 0 FROM issues WHERE severity <> 'bad') t "
         "GROUP BY doc_id, kind, text",
     ),
 )
 def blocking_reasons(spark, sf):
+    """The documents bring places as reasons, and the suggestions of issues that do not block."""
     found = rel.issues(spark, sf)
-    own = found.limit(0).select("doc_id", F.lit("reason").alias("kind"), F.col("reason").alias("text"), "pos")
-    return ops.blocking_reasons(own, found, strict=False).select("doc_id", "kind", "text", "pos")
+    places = found.select("doc_id", F.lit("reason").alias("kind"), F.col("location").alias("text"), "pos")
+    own = places.unionByName(found.filter(F.col("severity") != "bad").select("doc_id", F.lit("suggestion").alias("kind"), F.col("suggestion").alias("text"), "pos"))
+    return ops.blocking_reasons(own, found, strict=False).select("doc_id", "kind", "text", "turn", "pos")
 
 
 @query(

@@ -61,25 +61,28 @@ def reconcile_judges(spark, sf):
     "judge_with_fallback",
     rel.with_sql(
         "q runs",
-        "SELECT doc_id, CASE WHEN fast OR strong THEN CASE WHEN ask THEN 'strong' ELSE 'fast' END ELSE 'strong' END AS model_tier, "
+        "SELECT name AS doc_id, CASE WHEN fast OR strong THEN CASE WHEN ask THEN 'strong' ELSE 'fast' END ELSE 'strong' END AS model_tier, "
         "CAST(CASE WHEN fast OR strong THEN CASE WHEN fast THEN 1 ELSE 2 END + 2 + ask::INT ELSE 2 END AS INT) AS attempts, NOT fast OR ask AS fallback_called, "
         "CASE WHEN fast OR strong THEN 2 ELSE 0 END AS run_count, CASE WHEN fast OR strong THEN coalesce(NOT used AND (both_good OR both_bad) AND n_valid = 2, false) END AS agreement, "
         "CASE WHEN NOT (fast OR strong) THEN 'splitter_contract_failure' WHEN ask THEN 'judge_contract_failure' WHEN NOT fast THEN 'fast_splitter_contract_failure' END AS fallback_reason, "
         "CASE WHEN NOT (fast OR strong) THEN false WHEN used THEN doc_id % 2 = 0 ELSE coalesce(both_good, false) END AS is_good FROM ("
         "SELECT s.*, d.both_good, d.both_bad, coalesce(d.n_valid, 0) AS n_valid, (fast OR strong) AND coalesce(d.n_valid, 0) < 2 AS ask, "
-        "(fast OR strong) AND coalesce(d.n_valid, 0) < 2 AND s.doc_id % 3 <> 0 AS used FROM s LEFT JOIN d ON d.doc_id = s.doc_id) t",
-        s="SELECT doc_id, doc_id % 5 <> 0 AS fast, doc_id % 10 <> 0 AS strong FROM q",
-        d=f"SELECT * FROM ({DECIDED}) x WHERE pair = 0",
+        "(fast OR strong) AND coalesce(d.n_valid, 0) < 2 AND s.doc_id % 3 <> 0 AS used FROM s LEFT JOIN d ON d.name = s.name) t",
+        s="SELECT *, doc_id % 5 <> 0 AS fast, doc_id % 10 <> 0 AS strong FROM (SELECT DISTINCT doc_id, doc_id || '/' || CAST(pair AS BIGINT) AS name FROM runs "
+        "UNION ALL SELECT doc_id, doc_id || '/' FROM q)",
+        d=f"SELECT *, doc_id || '/' || CAST(pair AS BIGINT) AS name FROM ({DECIDED}) x",
     ),
 )
 def judge_with_fallback(spark, sf):
-    docs = rel.q(spark, sf)
-    splits = docs.select("doc_id", (F.col("doc_id") % 5 != 0).alias("fast_ok"), (F.col("doc_id") % 10 != 0).alias("strong_ok"))
-    first = consensus.reconcile_judges(judge_runs(spark, sf), KEYS).filter(F.col("pair") == 0)
+    """Every pair of runs is a document of its own; every order is one without replies."""
+    name = F.concat(F.col("doc_id").cast("string"), F.lit("/"), F.coalesce(F.col("pair").cast("string"), F.lit("")))
+    decided = consensus.reconcile_judges(judge_runs(spark, sf), KEYS)
+    docs = decided.select(*KEYS).unionByName(rel.q(spark, sf).select("doc_id", F.lit(None).cast("bigint").alias("pair")))
+    splits = docs.select(name.alias("doc_id"), (F.col("doc_id") % 5 != 0).alias("fast_ok"), (F.col("doc_id") % 10 != 0).alias("strong_ok"))
     verdict = F.when(F.col("doc_id") % 3 != 0, F.when(F.col("doc_id") % 2 == 0, "good").otherwise("bad"))
-    strong = docs.select("doc_id", verdict.alias("verdict"), F.lit(0).alias("from_order"), F.lit(1).alias("to_order"))
-    # Without runs in the first pair nothing is valid, so the strong model is asked as well.
-    return consensus.judge_with_fallback(splits, first, strong).drop("to_order")
+    strong = docs.select(name.alias("doc_id"), verdict.alias("verdict"), F.lit(0).alias("from_order"), F.lit(1).alias("to_order"))
+    # Without runs nothing is valid, so the strong model is asked as well.
+    return consensus.judge_with_fallback(splits, decided.withColumn("doc_id", name), strong).drop("to_order")
 
 
 def signature(spark, sf):

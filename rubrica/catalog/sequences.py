@@ -49,12 +49,12 @@ def numbered_states(spark, sf):
         "nodes states",
         "SELECT s.doc_id, sol, CAST(ord + CASE WHEN a.doc_id IS NULL THEN 0 ELSE 1 END AS INT) AS ord, s.path FROM s LEFT JOIN a ON a.doc_id = s.doc_id "
         "UNION ALL SELECT s.doc_id, sol, 0, a.path FROM (SELECT DISTINCT doc_id, sol FROM s) s JOIN a ON a.doc_id = s.doc_id",
-        a=f"SELECT * FROM ({ANCHOR}) x WHERE doc_id % 3 <> 0",
+        a=ANCHOR,
         s="SELECT CAST(floor(sol / 4) AS BIGINT) AS doc_id, * FROM states",
     ),
 )
 def prepend_anchor(spark, sf):
-    anchors = sequence.problem_anchor(anchor_nodes(spark, sf)).filter(F.col("doc_id") % 3 != 0)
+    anchors = sequence.problem_anchor(anchor_nodes(spark, sf))
     return sequence.prepend_anchor(numbered_states(spark, sf), anchors).select("doc_id", "sol", "ord", "path")
 
 

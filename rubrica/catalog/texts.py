@@ -117,11 +117,10 @@ def hygiene_summary(spark, sf):
 @query(
     "protect_math",
     "SELECT doc_id, regexp_replace(text, '(\\$\\$.*?\\$\\$|\\$.*?\\$|```.*?```)', '#', 'gs') AS protected, "
-    "len(regexp_extract_all(text, '(?s)(\\$\\$.*?\\$\\$|\\$.*?\\$|```.*?```)')) AS n FROM documents WHERE contains(text, '$') OR contains(text, '```')",
+    "len(regexp_extract_all(text, '(?s)(\\$\\$.*?\\$\\$|\\$.*?\\$|```.*?```)')) AS n FROM documents",
 )
 def protect_math(spark, sf):
-    docs = rel.table(spark, sf, "documents").filter(F.contains("text", F.lit("$")) | F.contains("text", F.lit("```")))
-    return docs.select(
+    return rel.table(spark, sf, "documents").select(
         "doc_id",
         F.regexp_replace(t.protect_math(F.col("text")), "__MATH_SEGMENT_[0-9]+__", "#").alias("protected"),
         F.size(t.math_segments(F.col("text"))).cast("bigint").alias("n"),

@@ -63,7 +63,40 @@ def hygiene_repeat_punct(spark, sf):
     return hits(spark, sf, "H5").select("doc_id", "pos")
 
 
-@query("hygiene_repeat_word")
+WORD = r"[\p{L}\p{M}\p{N}_]"
+
+
+def tokens(column):
+    """Words and what is between them, and whether a word of letters alone repeats the one before it."""
+    return (
+        f"SELECT *, regexp_full_match(t, '[{t.dims.WORD_CHARS}]+') AND regexp_full_match(gap, '[\\s\\x0b\\x{{85}}\\p{{Z}}]+') AND lower(t) = lower(prev) AS again FROM ("
+        "SELECT *, lag(t) OVER here AS gap, lag(t, 2) OVER here AS prev FROM (SELECT doc_id, pos, unnest(l) AS t, unnest(range(len(l))) AS i FROM "
+        f"(SELECT doc_id, pos, regexp_extract_all({column}, '{WORD}+|[^\\p{{L}}\\p{{M}}\\p{{N}}_]+') AS l FROM p) x) y WINDOW here AS (PARTITION BY doc_id, pos ORDER BY i)) z"
+    )
+
+
+REPEATS = {
+    "p": f"SELECT *, {PROTECTED} AS protected FROM nodes",
+    "safe": tokens("protected"),
+    "hit": "SELECT doc_id, pos, arg_min(prev || gap || t, i) AS found FROM safe WHERE again GROUP BY doc_id, pos",
+}
+
+
+@query(
+    "hygiene_repeat_word",
+    # Of a row of equal words, pairs are found from the left, so every second one goes with the gap before it.
+    rel.with_sql(
+        "nodes",
+        "SELECT hit.doc_id, hit.pos, 'A word repeats: ' || found || '.' AS reason, corrected_text FROM hit JOIN (SELECT doc_id, pos, string_agg(t, '' ORDER BY i) AS corrected_text FROM "
+        "(SELECT *, coalesce(lead(gone) OVER (PARTITION BY doc_id, pos ORDER BY i), false) AS before_gone FROM odd) o WHERE NOT gone AND NOT before_gone GROUP BY doc_id, pos) c "
+        "ON c.doc_id = hit.doc_id AND c.pos = hit.pos",
+        **REPEATS,
+        raw=tokens("text"),
+        rows="SELECT *, sum(CASE WHEN coalesce(again, false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, pos, word ORDER BY i) AS chain FROM "
+        f"(SELECT *, regexp_matches(t, '{WORD}') AS word FROM raw) w",
+        odd="SELECT *, coalesce(again, false) AND sum(CASE WHEN coalesce(again, false) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, pos, word, chain ORDER BY i) % 2 = 1 AS gone FROM rows",
+    ),
+)
 def hygiene_repeat_word(spark, sf):
     return hits(spark, sf, "H6").select("doc_id", "pos", "reason", "corrected_text")
 
@@ -105,13 +138,12 @@ GRADES = "CASE rule " + " ".join(f"WHEN '{k}' THEN '{r[0]}'" for k, r in hygiene
         "nodes",
         f"SELECT rule, {GRADES} AS severity, count(*) AS n FROM ("
         + " UNION ALL ".join(f"SELECT '{k}' AS rule FROM p WHERE {c}" for k, c in CONDITIONS.items())
-        + f" UNION ALL SELECT 'H10' FROM ({ACCENTLESS}) a) t GROUP BY rule",
-        p=f"SELECT *, {PROTECTED} AS protected FROM nodes",
+        + f" UNION ALL SELECT 'H6' FROM hit UNION ALL SELECT 'H10' FROM ({ACCENTLESS}) a) t GROUP BY rule",
+        **REPEATS,
     ),
 )
 def hygiene_summary(spark, sf):
-    found = hygiene.text_hygiene(rel.nodes(spark, sf)).filter(F.col("rule") != "H6")
-    return hygiene.hygiene_summary(found)
+    return hygiene.hygiene_summary(hygiene.text_hygiene(rel.nodes(spark, sf)))
 
 
 @query(

@@ -219,7 +219,7 @@ def missing_minus_present(spark, sf):
 
 
 def evaluations(spark, sf):
-    """One evaluation per conversation turn: its lines are issues, its first words and markers the subparts."""
+    """One evaluation per conversation turn: its lines are issues, their first words the subparts, every second one present."""
     turns = rel.table(spark, sf, "conversations")
     lines = F.split("text", "\n", -1)
     issue = lambda s, i: F.struct(
@@ -230,20 +230,45 @@ def evaluations(spark, sf):
         F.lit("").alias("suggested_fix"),
         F.lit(None).cast("string").alias("recommended_action"),
     )
-    part = lambda name, state, n: F.struct(name.alias("subpart"), F.lit(state).alias("coverage_state"), F.lit(n).alias("n_locations"))
-    word = F.element_at(F.split(F.get(lines, F.lit(0)), " "), 1)
-    mapping = F.array(part(word, "present", 0), part(F.concat(F.lit("tail "), "role"), "absent", 0))
+    part = lambda name, state: F.struct(name.alias("subpart"), state.alias("coverage_state"), F.lit(0).alias("n_locations"))
+    words = F.transform(lines, lambda s: F.element_at(F.split(s, " "), 1))
+    tail = F.concat(F.lit("tail "), "role")
+    mapping = F.concat(F.transform(words, lambda w, i: part(w, F.when(i % 2 == 0, "present").otherwise("absent"))), F.array(part(tail, F.lit("absent"))))
     return turns.select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("record_id"),
         F.transform(lines, issue).alias("issues"),
         mapping.alias("mapping"),
-        F.array(word, F.concat(F.lit("tail "), "role")).alias("missing"),
+        F.concat(words, F.array(tail)).alias("missing"),
         F.lit("ok").alias("overall_status"),
         F.lit("full").alias("coverage_status"),
     )
 
 
-@query("mention_join")
+def mentions_sql(low, part):
+    """Whether the lower-case text `low` talks about `part`, as list expressions."""
+    tokens = f"list_filter(string_split(trim(regexp_replace(translate(lower({part}), '()', '  '), '\\s+', ' ', 'g')), ' '), lambda w: w <> '')"
+    marker = "regexp_full_match(w, '[\\p{L}\\p{N}]')"
+    named = f"regexp_matches({low}, '(?:{'|'.join(dims.MARKER_WORDS)})\\s+' || w || '\\b|\\b' || w || '[\\)\\.,:]')"
+    return (
+        f"CASE WHEN {part} <> '' AND contains({low}, lower({part})) THEN true WHEN len(list_filter({tokens}, lambda w: {marker})) > 0 "
+        f"THEN len(list_filter({tokens}, lambda w: {marker} AND {named})) > 0 "
+        f"ELSE len(list_filter({tokens}, lambda w: length(w) > 1)) > 0 AND len(list_filter({tokens}, lambda w: length(w) > 1 AND NOT contains({low}, w))) = 0 END"
+    )
+
+
+TURNS = (
+    "SELECT *, list_filter(words, lambda w, i: i % 2 = 1) AS found, list_sort(list_distinct(list_filter(words, lambda w, i: i % 2 = 1))) AS present FROM ("
+    "SELECT conv_id || '-' || turn AS record_id, role, string_split(text, chr(10)) AS lines, "
+    "list_transform(string_split(text, chr(10)), lambda s: string_split(s, ' ')[1]) AS words FROM conversations) t"
+)
+LINES = "SELECT * EXCLUDE (lines), unnest(lines) AS line, CAST(unnest(range(len(lines))) AS INT) AS pos FROM turns"
+
+
+@query(
+    "mention_join",
+    f"WITH turns AS ({TURNS}), n AS ({LINES}) SELECT record_id, pos, array_to_string(list_filter(list_concat(present, ['(a)', 'in der']), "
+    f"lambda s: {mentions_sql('lower(line)', 's')}), '|') AS mentioned FROM n",
+)
 def mention_join(spark, sf):
     """Subparts each line mentions, by its words or by a one-letter marker."""
     found = evaluations(spark, sf).withColumn("subparts", F.concat(coverage.present_subparts(F.col("mapping")), F.array(F.lit("(a)"), F.lit("in der"))))
@@ -254,18 +279,24 @@ def mention_join(spark, sf):
 
 @query(
     "mention_containment",
-    "SELECT record_id, pos, contains(lower(line), lower(word)) AS mentioned FROM (SELECT conv_id || '-' || turn AS record_id, "
-    "string_split(string_split(text, chr(10))[1], ' ')[1] AS word, unnest(string_split(text, chr(10))) AS line, "
-    "CAST(unnest(range(len(string_split(text, chr(10))))) AS INT) AS pos FROM conversations) t WHERE length(word) > 1",
+    f"WITH turns AS ({TURNS}), n AS ({LINES}) SELECT record_id, pos, {mentions_sql('lower(line)', 'words[1]')} AS mentioned FROM n",
 )
 def mention_containment(spark, sf):
-    """Lines that contain the first word of their turn, which is a subpart of one word of two letters or more."""
-    turns = evaluations(spark, sf).withColumn("word", F.get("mapping", F.lit(0))["subpart"]).filter(F.length("word") > 1)
+    """Lines that mention the first word of their turn."""
+    turns = evaluations(spark, sf).withColumn("word", F.get("mapping", F.lit(0))["subpart"])
     lines = turns.select("record_id", "word", F.posexplode(F.transform("issues", lambda i: i["summary"])).alias("pos", "line"))
     return lines.select("record_id", "pos", coverage.mentions(F.col("line"), F.col("word")).alias("mentioned"))
 
 
-@query("coverage_consistency")
+@query(
+    "coverage_consistency",
+    f"WITH turns AS ({TURNS}), n AS ({LINES}), "
+    f"c AS (SELECT *, pos % 2 = 0 AND len(list_filter(present, lambda s: s <> '' AND {mentions_sql('lower(line)', 's')})) > 0 AS gone FROM n), "
+    "k AS (SELECT record_id, any_value(role) AS role, any_value(words) AS words, any_value(found) AS found, any_value(present) AS present, count(*) FILTER (WHERE NOT gone) AS n_issues, "
+    "count(*) FILTER (WHERE gone) AS n_dropped, CASE WHEN bool_or(NOT gone AND pos % 3 = 0) THEN 'bad' WHEN bool_or(NOT gone) THEN 'warning' ELSE 'ok' END AS overall_status FROM c GROUP BY record_id) "
+    "SELECT record_id, n_issues, array_to_string(list_append(list_filter(words, lambda w, i: list_position(words, w) = i AND NOT list_contains(present, w)), 'tail ' || role), '|') AS missing, "
+    "array_to_string(found, '|') AS covered, array_to_string(present, '|') AS unlisted, n_dropped, 'partial' AS coverage_status, overall_status FROM k",
+)
 def coverage_consistency(spark, sf):
     found = coverage.coverage_consistency(evaluations(spark, sf))
     return found.select(

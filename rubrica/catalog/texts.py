@@ -9,8 +9,10 @@ from rubrica.catalog.registry import query
 from rubrica.functions import text as t
 from rubrica.operators import hygiene
 
-# Formulas as one token per span; the ordinals only change lengths from the tenth span on.
+# Formulas as one token per span, all with ordinal 0; LENGTH adds the further digits of ordinals from 10 on.
 PROTECTED = r"regexp_replace(text, '(\$\$.*?\$\$|\$.*?\$|```.*?```)', '__MATH_SEGMENT_0__', 'gs')"
+SPANS = r"len(regexp_extract_all(text, '(?s)(\$\$.*?\$\$|\$.*?\$|```.*?```)'))"
+LENGTH = "(length(protected) + " + " + ".join(f"greatest(0, {SPANS} - {10**k})" for k in range(1, 6)) + ")"
 NODES = rel.SQL["nodes"]
 TRIM = "trim({c}, chr(9) || chr(13) || chr(10) || ' ')"
 
@@ -30,7 +32,7 @@ CONDITIONS = {
     "H4": r"regexp_matches(protected, '[,.;:!?][^\s\d,.;:!?]')",
     "H5": r"regexp_matches(protected, ',,|\.\.|;;|!!|\?\?')",
     "H7": "contains(protected, '�') OR contains(protected, 'Ã') OR contains(protected, 'Â') OR contains(protected, 'Æ') OR contains(protected, 'á»') OR contains(protected, 'Ä')",
-    "H8": "length(protected) > 650 AND length(protected) - length(replace(replace(replace(protected, '.', ''), '?', ''), '!', '')) <= 1",
+    "H8": f"{LENGTH} > 650 AND length(protected) - length(replace(replace(replace(protected, '.', ''), '?', ''), '!', '')) <= 1",
     "H9": "abs((length(protected) - length(replace(protected, '(', ''))) - (length(protected) - length(replace(protected, ')', '')))) >= 2",
 }
 

@@ -189,14 +189,14 @@ def candidate_nodes(spark, sf):
     "spelling_request",
     rel.with_sql(
         "nodes",
-        f"SELECT doc_id, pointer AS path, role FROM p WHERE {CONDITIONS['H5']}",
-        p=f"SELECT *, {PROTECTED} AS protected FROM nodes",
+        f"SELECT doc_id, pointer AS path, role FROM p WHERE {' OR '.join(f'({c})' for c in CONDITIONS.values())} "
+        f"OR (doc_id, pos) IN (SELECT doc_id, pos FROM hit) OR (doc_id, pos) IN ({ACCENTLESS})",
+        **REPEATS,
     ),
 )
 def spelling_request(spark, sf):
     nodes = rel.nodes(spark, sf)
-    found = hygiene.text_hygiene(nodes).filter(F.col("rule") == "H5")
-    return hygiene.spelling_request(hygiene.candidate_nodes(nodes, found)).select("doc_id", "path", "role")
+    return hygiene.spelling_request(hygiene.candidate_nodes(nodes, hygiene.text_hygiene(nodes))).select("doc_id", "path", "role")
 
 
 @query(

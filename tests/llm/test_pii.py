@@ -83,3 +83,10 @@ def test_whole_operator(spark):
 
 def test_empty_table(spark):
     assert pii.personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_address_parts_of_any_length():
+    for zeros in (0, 4400, 6000):
+        text = "0" * zeros + "7.1.2.3"
+        assert ("ip", 0, len(text)) in pii.base_spans(text)
+        assert not any(k == "ip" for k, _, _ in pii.base_spans("9" * (zeros + 4) + ".1.2.3"))

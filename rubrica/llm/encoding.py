@@ -8,6 +8,7 @@ from __future__ import annotations
 import base64
 import re
 from array import array
+from functools import lru_cache
 
 #: The word tokenizer lower-cases and cuts at white space, so the ids of a text are those of its chunks in a row.
 #: This holds for the characters below U+0180; texts with others, or with its special tokens, are encoded whole.
@@ -15,35 +16,52 @@ ODD = re.compile("[\x1c-\x1fƀ-\U0010ffff]")
 LETTER, NUMBER = "a-zªµºß-öø-ſ", "0-9²³¹¼½¾"
 #: How the tokenizer cuts a chunk into words, for these characters.
 WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\t-\r \x85\xa0{LETTER}{NUMBER}]+")
-#: Remembered words and chunks of a task at most; beyond that it starts anew.
+#: Words, and chunks, remembered in each of two generations at most.
 REMEMBERED = 250_000
 
 
-class _Words(dict):
+class _Memory(dict):
+    """What was computed lately: two generations, of which the older one goes when the newer one is full, so that what
+    is used often stays and a worker's memory is bounded."""
+
+    def __init__(self):
+        self.older: dict = {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class _Words(_Memory):
     def __init__(self, tokenizer):
         from tokenizers import pre_tokenizers
 
+        super().__init__()
         self.model = tokenizer.model
-        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.mapped = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0x180)}
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        mapped = word if word.isascii() and word.isprintable() else self.bytes.pre_tokenize_str(word)[0][0]
-        ids = self[word] = array("H", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-        return ids
+    def compute(self, word: str) -> bytes:
+        mapped = word if word.isascii() and word.isprintable() else word.translate(self.mapped)
+        return array("H", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
 
-class _Chunks(dict):
+class _Chunks(_Memory):
     def __init__(self, tokenizer):
+        super().__init__()
         self.words = _Words(tokenizer)
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
+    def compute(self, chunk: str) -> bytes:
         words = self.words
-        ids = self[chunk] = b"".join([words[w] for w in WORDS.findall(chunk)])
-        return ids
+        if chunk.isascii() and chunk.isalpha():
+            return words.compute(chunk)  # one word, remembered as a chunk
+        return b"".join([words[w] for w in WORDS.findall(chunk)])
 
 
 class WordEncoder:
@@ -65,6 +83,12 @@ class WordEncoder:
         return b"".join(map(self.chunks.__getitem__, text.lower().split()))
 
 
+@lru_cache(maxsize=1)
+def word_encoder(path: str | None = None) -> WordEncoder:
+    """The encoder of this worker, kept with its memory from task to task."""
+    return WordEncoder(path)
+
+
 def byte_encoder(path: str | None = None):
     """The byte-level tokenizer whose ids `encode_ordinary` gives."""
     import public_tokenizers

@@ -1,43 +1,54 @@
 """Packing documents into sequences along a space-filling curve.
 
-A document's hashed word vector is projected to a few dimensions by the signs of the words' hashes; the Hilbert key of
-that point puts documents with like words close together. Documents are range-sorted by the key, and each range is
-packed as one stream that is cut every 4096 ids. What is left at the end of a range is cut into sequences whose lengths
-are powers of two, so no padding is needed anywhere, and ranges need to know nothing of each other.
+A document's hashed vector, of its distinct token ids, is projected to a few dimensions by the signs of the ids' hashes;
+the Hilbert key of that point puts documents with like words close together. Documents are range-sorted by the key, and
+each range is packed as one stream that is cut every 4096 ids. What is left at the end of a range is cut into sequences
+whose lengths are powers of two, so no padding is needed anywhere, and ranges need to know nothing of each other.
+
+Texts pass through Python once: ids and key are made together and written as a checkpoint, which the sample for the
+range bounds and the sort then read. The bounds come from a sample of the keys, so another run may deal the same documents to
+other sequences; pieces cover the same ids in any run.
 
 Copies share one key, so a hash of doc_id breaks the tie and lets a large group of copies be spread over ranges.
 
-Defined results: a null or empty text is the closing id alone; rows that repeat a doc_id are packed one by one, each
-with its own pieces; a null doc_id stays null; an empty table gives an empty result.
+Defined results: a null or empty text is the closing id alone; bytes that are no UTF-8 count as U+FFFD; rows that
+repeat a doc_id are packed one by one, each with its own pieces; a null doc_id stays null; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from rubrica.llm.common import utf8
-from rubrica.llm.encoding import WordEncoder
+from rubrica.llm.encoding import word_encoder
+from rubrica.session import cut_lineage
 
 LENGTH, CLOSING = 4096, 2
 DIMENSIONS, BITS = 4, 8
+#: Bytes of ids in one batch of rows.
+BATCH = 4 << 20
+
+
+@cache
+def signs(dimensions: int = DIMENSIONS) -> np.ndarray:
+    """+1 or -1 for every 16-bit id and dimension, from bits of the id's hash."""
+    h = np.array([zlib.crc32(i.to_bytes(2, "little")) for i in range(1 << 16)], np.uint32)
+    return np.stack([np.where(h & np.uint32(1 << (7 * d + 3)), 1.0, -1.0) for d in range(dimensions)], axis=1)
 
 
-def project(text: bytes, dimensions: int = DIMENSIONS) -> list[float]:
-    """A point, about standard normal in each dimension, from the hashes of the distinct words of a text."""
-    words = set(text.lower().split())
-    if not words:
-        return [0.0] * dimensions
-    h = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
-    return [float(2 * np.count_nonzero(h & np.uint32(1 << (7 * d + 3))) - len(h)) / len(h) ** 0.5 for d in range(dimensions)]
+def project(ids: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """A point, about standard normal in each dimension, from the distinct ids of a text."""
+    distinct = np.unique(ids)
+    return signs(dimensions)[distinct].sum(axis=0) / max(1, len(distinct)) ** 0.5
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -67,10 +78,9 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_keys(text: pd.Series) -> pd.Series:
-    points = np.array([project(bytes(t)) for t in text], np.float64).reshape(-1, DIMENSIONS)
+def curve_keys(points: np.ndarray) -> np.ndarray:
     cells = np.clip((points + 4) / 8 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
-    return pd.Series(hilbert(cells))
+    return hilbert(cells)
 
 
 class _Stream:
@@ -117,9 +127,33 @@ class _Stream:
             self.close()
 
 
-def _pack(length: int, closing: int, path: str | None, schema: pa.Schema):
+def _code(path: str | None, doc_id: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = word_encoder(path)
+
+        def out(docs: list, points: list, ids: list) -> pa.RecordBatch:
+            keys = curve_keys(np.array(points).reshape(-1, DIMENSIONS))
+            return pa.RecordBatch.from_arrays([pa.array(docs, doc_id), pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "key", "ids"])
+
+        for batch in batches:
+            docs, points, ids, held = [], [], [], 0
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                coded = encoder.encode(text.as_py().decode(errors="replace"))
+                docs.append(doc)
+                ids.append(coded)
+                points.append(project(np.frombuffer(coded, "<u2")))
+                held += len(coded)
+                if held > BATCH:
+                    yield out(docs, points, ids)
+                    docs, points, ids, held = [], [], [], 0
+            if docs:
+                yield out(docs, points, ids)
+
+    return run
+
+
+def _pack(length: int, closing: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
         stream = _Stream(length, TaskContext.get().partitionId() << 32)
         end = np.array([closing], "<u2").tobytes()
 
@@ -128,8 +162,8 @@ def _pack(length: int, closing: int, path: str | None, schema: pa.Schema):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                stream.add(doc_id, np.frombuffer(encoder.encode(text.as_py().decode()) + end, "<u2"))
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
+                stream.add(doc_id, np.frombuffer(ids.as_py() + end, "<u2"))
                 if len(stream.rows) > 10_000:
                     yield out()
         stream.end()
@@ -145,10 +179,10 @@ def pack(docs: DataFrame, length: int = LENGTH, closing: int = CLOSING, path: st
     path names the word tokenizer's file as executors see it.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = pa.schema([("doc_id", {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string()))] + [(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+    doc_id = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
+    schema = pa.schema([("doc_id", doc_id)] + [(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
     rows = docs.select("doc_id", utf8().alias("text"))
-    curve_key = pandas_udf(curve_keys, "long")
-    ranged = rows.withColumn("key", curve_key("text")).repartitionByRange("key", F.xxhash64("doc_id"))
-    ordered = ranged.sortWithinPartitions("key", F.xxhash64("doc_id"), "doc_id", "text")
+    coded = cut_lineage(rows.mapInArrow(_code(path, doc_id), f"doc_id {kind}, key long, ids binary"))
+    ordered = coded.repartitionByRange("key", F.xxhash64("doc_id")).sortWithinPartitions("key", F.xxhash64("doc_id"), "doc_id", "ids")
     columns = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return ordered.select("doc_id", "text").mapInArrow(_pack(length, closing, path, schema), columns)
+    return ordered.select("doc_id", "ids").mapInArrow(_pack(length, closing, schema), columns)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rubrica.llm import exact_dedup, language_id, mixing, packing, pii, simhash, substrings, token_counts, toxicity, vector_graph
+from rubrica.llm import best_fit, exact_dedup, language_id, mixing, packing, pii, simhash, substrings, token_counts, toxicity, vector_graph
 from rubrica.llm.common import table
 from rubrica.session import configure
 
@@ -144,3 +144,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
     return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+@query("op13_best_fit")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in as few sequences of 2048 ids as best fit gives."""
+    return best_fit.pack(table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rubrica.llm import best_fit, exact_dedup, language_id, mixing, packing, pii, simhash, substrings, token_counts, toxicity, vector_graph
+from rubrica.llm import best_fit, conversation_repair, exact_dedup, hard_negatives, language_id, mixing, packing, pii, simhash, substrings, token_counts, toxicity, vector_graph
 from rubrica.llm.common import table
 from rubrica.session import configure
 
@@ -150,3 +150,50 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document in as few sequences of 2048 ids as best fit gives."""
     return best_fit.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query(
+    "op12_hard_negatives",
+    """
+    WITH e AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS q
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+            CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+        FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+    p AS (
+        SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+    n AS (
+        SELECT p.anchor_id, positive_id,
+            CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS INT) AS rank,
+            other_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+            AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+    SELECT * FROM n WHERE rank <= 10
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, below each of its positives; every seventh label is wrong."""
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.summaries(vectors, noisy)
+    return hard_negatives.mine(rows, rows.where("vec_id % 100 = 0"))
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every conversation, after damage to about a quarter of its rows."""
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(shown("conv_id"), F.lit(":"), shown("turn")).cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.translate(shown("text"), ".!?", "")).otherwise(shown("text"))
+    damaged = rows.where(kind != 0).select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(shown("role")).alias("role"), text.alias("text"),
+        F.explode(F.when(kind == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
+    )
+    return conversation_repair.audited(damaged, rows)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sources", "objects", "plans", "issues", "texts", "sequences", "replies", "repairs", "reports")
+MODULES = ("sources", "objects", "plans", "issues", "texts", "sequences", "replies", "repairs", "reports", "flows")
 
 
 def _load():

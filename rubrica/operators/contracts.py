@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rubrica import dims
 from rubrica.functions import pointers, text as t, variants as v
+from rubrica.functions.text import bind
 from rubrica.operators import rules_plan
 
 MISSING = "required field is missing"
@@ -268,6 +269,52 @@ def split_error(states: Column, blocks: Column) -> Column:
     )
 
 
+def _first_good(tried: Column, name: str) -> Column:
+    """As `_first_valid`, for one reply in its row: struct<error, name>."""
+    return bind(
+        tried,
+        lambda all_: bind(
+            F.get(F.filter(all_, lambda c: c["error"].isNull()), F.lit(0)),
+            lambda good: F.struct(
+                F.when(good.isNull(), F.coalesce(F.get(all_, F.size(all_) - 1)["error"], F.lit(NO_OBJECT))).alias("error"),
+                good[name].alias(name),
+            ),
+        ),
+    )
+
+
+def split_reply(content: Column, blocks: Column) -> Column:
+    """One split reply in the row of its document: struct<error, states>."""
+    candidate = lambda c: F.struct(
+        F.coalesce(contract_error(c, SPLIT), split_error(split_states(c), blocks)).alias("error"), split_states(c).alias("states")
+    )
+    return _first_good(F.transform(v.fenced_objects(content), candidate), "states")
+
+
+def transition_reply(content: Column) -> Column:
+    """One judge reply in the row of its document: struct<error, judgement>."""
+    candidate = lambda c: F.struct(contract_error(c, TRANSITIONS).alias("error"), judgement(c).alias("judgement"))
+    return _first_good(F.transform(v.fenced_objects(content), candidate), "judgement")
+
+
+def resolver_reply(content: Column, solution_text: Column, known_options: Column, doc: Column) -> Column:
+    """One resolver reply in the row of its document: struct<error, fields>, the issues of the fields being those that count."""
+
+    def checked(reply: Column) -> Column:
+        shape = F.when(reply.isNull(), NO_OBJECT).otherwise(contract_error(reply, RESOLVER))
+        return bind(
+            resolver_fields(reply, solution_text),
+            lambda fields: bind(
+                F.coalesce(shape, resolver_error(fields, known_options, doc)),
+                lambda error: F.struct(
+                    error.alias("error"), F.when(error.isNull(), fields.withField("issues", resolver_issues(fields))).alias("fields")
+                ),
+            ),
+        )
+
+    return bind(v.parse_reply(content), checked)
+
+
 def check_split_replies(replies: DataFrame) -> DataFrame:
     """replies: (doc_id, content, blocks). The first candidate that keeps the contract is used."""
     candidate = lambda c: F.struct(

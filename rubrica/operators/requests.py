@@ -95,6 +95,36 @@ def anchor_contexts(docs: DataFrame) -> DataFrame:
     )
 
 
+def context_list(doc: Column) -> Column:
+    """As `anchor_contexts`, for one document in its row: array<struct<iid, itype, spec, spec_path, options, hints, stem>>."""
+    shared = v.elements(v.get(doc, "answerSpecs"))
+
+    def of_item(item: Column, i: Column) -> Column:
+        specs = F.concat(v.elements(v.get(item, "answerSpecs")), shared)
+        refs = F.transform(specs, lambda s: F.coalesce(v.truthy_text(v.get(s, "interactionId")), F.lit("")))
+        hints = v.get(item, "hints")
+
+        def context(inter: Column) -> Column:
+            fields = flatten.interaction_fields(inter)
+            at = F.array_position(refs, fields["iid"]).cast("int") - 1
+            return F.when(
+                v.is_object(inter) & (fields["itype"] != "essay") & (at >= 0),
+                F.struct(
+                    fields["iid"].alias("iid"),
+                    fields["itype"].alias("itype"),
+                    F.get(specs, at).alias("spec"),
+                    F.concat(F.lit("/questionItems/"), i.cast("string"), F.lit("/answerSpecs/"), at.cast("string")).alias("spec_path"),
+                    F.when(fields["itype"].isin(dims.OPTION_TYPES), fields["options"]).alias("options"),
+                    F.when(v.truthy_text(hints).isNotNull(), hints).alias("hints"),
+                    v.get(item, "stem").alias("stem"),
+                ),
+            )
+
+        return F.when(v.is_object(item), F.array_compact(F.transform(v.elements(v.get(item, "interactions")), context)))
+
+    return F.flatten(F.array_compact(F.transform(v.elements(v.get(doc, "questionItems")), of_item)))
+
+
 def first_specs(inter: DataFrame, spec: DataFrame) -> DataFrame:
     """The same first-match lookup over stored relations: one spec per interaction, essays left out.
 

@@ -239,10 +239,19 @@ def cover(spark, sf) -> DataFrame:
     )
 
 
+def texts(spark, sf) -> DataFrame:
+    """Documents as they are split for reading, or in as many partitions as the session sets for a table of few row groups.
+
+    `rubrica.source.partitions` moves whole texts, so nothing sets it by itself; tables of many row groups need none.
+    """
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    parts = spark.conf.get("rubrica.source.partitions", None)
+    return docs.repartition(int(parts)) if parts else docs
+
+
 def nodes(spark, sf) -> DataFrame:
     return (
-        table(spark, sf, "documents")
-        .select("doc_id", "text")
+        texts(spark, sf)
         .select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
         .select(
             "doc_id",
@@ -304,9 +313,20 @@ to_json(named_struct(
 """
 
 
+def order_keys(spark, sf) -> DataFrame:
+    """The keys of orders, dealt out by hash before anything is built from them.
+
+    Documents cost far more than the eight bytes of a key, and a table may be one row group, which is one task; only
+    keys move, whatever the size.
+    """
+    # With a number, since partitions of keys alone are small enough to be merged again at run time.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")).repartition(parts, "k")
+
+
 def object_json(spark, sf) -> DataFrame:
     """One JSON document per order (doc_id, k, body)."""
-    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    orders = order_keys(spark, sf)
     return orders.select(F.col("k").alias("doc_id"), "k", F.expr(OBJECT_JSON).alias("body"))
 
 
@@ -395,7 +415,7 @@ concat('{{"_id": "', if(k % 31 = 0, '', concat('r', k)), '", "name": "n", "quest
 
 def plan_records(spark, sf) -> DataFrame:
     """One source record with a plan per order (record_id, record)."""
-    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    orders = order_keys(spark, sf)
     return orders.select(F.col("k").alias("record_id"), F.try_parse_json(F.expr(RECORD_JSON)).alias("record"))
 
 

@@ -149,12 +149,12 @@ def fail_closed(spark, sf):
     rel.with_sql(
         "issues nodes",
         "SELECT source, severity, category, count(*) AS n FROM (SELECT 0 AS source, severity, category FROM issues "
-        "UNION ALL SELECT 1, 'needs_review', 'spelling_wording' FROM nodes WHERE pos = 0) t GROUP BY source, severity, category",
+        "UNION ALL SELECT 1, 'needs_review', 'spelling_wording' FROM nodes) t GROUP BY source, severity, category",
     ),
 )
 def merge_issues(spark, sf):
     """Rule issues and reply issues as one relation."""
-    lines = rel.nodes(spark, sf).filter(F.col("pos") == 0).select(
+    lines = rel.nodes(spark, sf).select(
         "doc_id",
         "pos",
         F.lit("unclear").alias("severity"),

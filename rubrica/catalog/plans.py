@@ -427,23 +427,51 @@ def repair_eligible(spark, sf):
 SUMMARIES = ["coverage issue here", "The second part of the question has no item", "clarity", "decomposition issue", "interaction_type_issue", "The order of the steps is wrong in clarity"]
 
 
+def _said(n_words, tail):
+    """The first words of a line and, in every other line, something after them."""
+    words = F.array_join(F.slice(F.filter(F.split(F.regexp_replace("text", "[^A-Za-z ]", " "), " "), lambda w: w != ""), F.lit(1), n_words), " ")
+    return F.btrim(F.concat(words, F.lit(" "), tail))
+
+
+SAID = "trim(array_to_string(list_filter(string_split(regexp_replace(text, '[^A-Za-z ]', ' ', 'g'), ' '), lambda w: w <> '')[1:{n}], ' ') || ' ' || {tail})"
+TERMS = dims.TAXONOMY_TERMS + dims.GENERIC_PHRASES
+_LIST = lambda values: "[" + ", ".join(f"'{x}'" for x in values) + "]"
+_TERM = f"CASE WHEN pos % 2 = 0 THEN {_LIST(TERMS)}[CAST((doc_id + pos) % {len(TERMS)} AS INT) + 1] ELSE '' END"
+
+
 @query(
     "generic_summary",
-    "SELECT event_id, CAST(event_id % 6 AS INT) IN (0, 2, 3, 4) AS generic FROM events",
+    rel.with_sql(
+        "nodes",
+        "SELECT doc_id, pos, said <> '' AND (replace(low, ' ', '_') = kind OR len(list_filter(string_split(low, ' '), lambda w: w <> '')) <= 4 AND "
+        f"len(list_filter({_LIST(dims.TAXONOMY_TERMS)}, lambda x: contains(replace(low, ' ', '_'), x))) > 0 OR len(list_filter({_LIST(dims.GENERIC_PHRASES)}, lambda x: contains(low, x))) > 0) AS generic FROM said",
+        said=f"SELECT doc_id, pos, said, lower(said) AS low, {_LIST(dims.ISSUE_TYPES)}[CAST(doc_id % {len(dims.ISSUE_TYPES)} AS INT) + 1] AS kind FROM (SELECT doc_id, pos, {SAID.format(n='CAST(pos % 6 AS INT)', tail=_TERM)} AS said FROM nodes) t",
+    ),
 )
 def generic_summary(spark, sf):
-    summary = F.get(F.array(*[F.lit(s) for s in SUMMARIES]), (F.col("event_id") % 6).cast("int"))
-    return rel.table(spark, sf, "events").select("event_id", t.generic_summary(summary, F.lit("decomposition_issue")).alias("generic"))
+    """Summaries from the first words of every line, half of them with a term that names a kind of problem."""
+    nodes = rel.nodes(spark, sf)
+    pick = lambda values, n: F.get(F.array(*[F.lit(x) for x in values]), (n % len(values)).cast("int"))
+    tail = F.when(F.col("pos") % 2 == 0, pick(TERMS, F.col("doc_id") + F.col("pos"))).otherwise("")
+    said = _said((F.col("pos") % 6).cast("int"), tail)
+    return nodes.select("doc_id", "pos", t.generic_summary(said, pick(dims.ISSUE_TYPES, F.col("doc_id"))).alias("generic"))
+
+
+_HEDGED = f"CASE WHEN pos % 3 = 0 THEN upper({_LIST(dims.HEDGES)}[CAST(doc_id % 6 AS INT) + 1]) || ' ' || {_LIST(dims.HEDGES)}[CAST(pos % 6 AS INT) + 1] ELSE '' END"
 
 
 @query(
     "ambiguous_phrase",
-    "SELECT event_id, [NULL, 'hoặc', 'tùy', 'có thể', NULL][CAST(event_id % 5 AS INT) + 1] AS phrase FROM events",
+    rel.with_sql(
+        "nodes",
+        f"SELECT doc_id, pos, list_filter({_LIST(dims.HEDGES)}, lambda h: contains(lower(said), h))[1] AS phrase FROM (SELECT doc_id, pos, {SAID.format(n=8, tail=_HEDGED)} AS said FROM nodes) t",
+    ),
 )
 def ambiguous_phrase(spark, sf):
-    texts = ["Use a matching task", "Tùy bài, dùng A HOẶC B", "tùy theo lớp", "Có thể đổi, cân nhắc thêm", "split the item"]
-    text = F.get(F.array(*[F.lit(s) for s in texts]), (F.col("event_id") % 5).cast("int"))
-    return rel.table(spark, sf, "events").select("event_id", t.ambiguous_phrase(text).alias("phrase"))
+    """The first words of every line, a third of them with two hedges in any order and case."""
+    pick = lambda n: F.get(F.array(*[F.lit(h) for h in dims.HEDGES]), (n % 6).cast("int"))
+    tail = F.when(F.col("pos") % 3 == 0, F.concat(F.upper(pick(F.col("doc_id"))), F.lit(" "), pick(F.col("pos")))).otherwise("")
+    return rel.nodes(spark, sf).select("doc_id", "pos", t.ambiguous_phrase(_said(F.lit(8), tail)).alias("phrase"))
 
 
 LEVEL = "CASE WHEN event_id % 4 = 0 THEN 'planet' ELSE 'item' END"
@@ -454,10 +482,10 @@ LEVEL = "CASE WHEN event_id % 4 = 0 THEN 'planet' ELSE 'item' END"
     "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'plan' ELSE 'item' END AS issue_level, "
     f"CASE WHEN {STATUS_CASE} IN ('warning', 'bad') THEN {STATUS_CASE} ELSE 'needs_review' END AS severity, "
     "'selected_scope_issue' AS issue_type, CASE WHEN event_id % 5 = 0 THEN 'low' ELSE 'medium' END AS confidence, "
-    "event_id % 6 IN (0, 2) AS is_generic FROM events WHERE event_id % 6 IN (0, 1, 2, 5)",
+    "event_id % 6 IN (0, 2, 3, 4) AS is_generic FROM events",
 )
 def normalize_plan_eval(spark, sf):
-    events = plan_events(spark, sf).filter((F.col("event_id") % 6).isin(0, 1, 2, 5))
+    events = plan_events(spark, sf)
     summary = F.get(F.array(*[F.lit(s) for s in SUMMARIES]), (F.col("event_id") % 6).cast("int"))
     issues = events.select(
         "event_id",
@@ -530,19 +558,23 @@ def reasons_or_summary(spark, sf):
 
 @query(
     "plan_result",
-    "SELECT event_id AS record_id, event_type = 'click' AS is_good, CASE WHEN event_type = 'click' THEN 0 ELSE greatest(event_id % 3, 1) END AS n_reasons, "
-    "CASE WHEN event_type = 'click' THEN 0 ELSE event_id % 4 END AS n_suggestions, CASE WHEN event_type <> 'click' AND event_id % 2 = 0 THEN props END AS new_plan, "
-    "event_id % 5 = 0 AS is_loop, CAST(greatest(event_id % 6 - 2, 0) AS INT) AS loop_count FROM events",
+    "SELECT user_id AS record_id, 0::INT AS part, is_good, CASE WHEN is_good THEN '' ELSE coalesce(reasons, 'The plan is not good enough, but no reason was given.') END AS reasons, "
+    "CASE WHEN is_good THEN '' ELSE coalesce(suggestions, '') END AS suggestions, CASE WHEN NOT is_good AND user_id % 2 = 0 THEN 'plan ' || user_id END AS new_plan, user_id % 5 = 0 AS is_loop, "
+    "CAST(greatest(user_id % 6 - 2, 0) AS INT) AS loop_count FROM (SELECT user_id, user_id % 3 = 0 AS is_good FROM events GROUP BY user_id) u "
+    f"LEFT JOIN (SELECT record_id, string_agg(text, '|' ORDER BY pos, text) AS reasons FROM (SELECT user_id AS record_id, {REASON} AS text, min(event_id) AS pos FROM events WHERE user_id % 7 <> 0 GROUP BY 1, 2) a GROUP BY 1) r ON r.record_id = user_id "
+    "LEFT JOIN (SELECT record_id, string_agg(text, '|' ORDER BY pos, text) AS suggestions FROM (SELECT user_id AS record_id, CASE WHEN event_id % 2 = 0 THEN 'fix ' || event_type ELSE event_type END AS text, min(event_id) AS pos FROM events GROUP BY 1, 2) a GROUP BY 1) g ON g.record_id = user_id",
 )
 def plan_result(spark, sf):
-    evaluated = rel.table(spark, sf, "events").select(
-        F.col("event_id").alias("record_id"),
-        (F.col("event_type") == "click").alias("is_good"),
-        (F.col("event_id") % 3).alias("n_reasons"),
-        (F.col("event_id") % 4).alias("n_suggestions"),
-        F.col("props").alias("candidate"),
-        (F.col("event_id") % 2 == 0).alias("candidate_valid"),
-        (F.col("event_id") % 5 == 0).alias("is_loop"),
-        (F.col("event_id") % 6 - 2).alias("loop_count"),
+    """Every user is a record, with the distinct reasons and suggestions of all its events; some have no reason."""
+    found = texted(spark, sf)
+    records = found.select("record_id").distinct().select(
+        "record_id",
+        (F.col("record_id") % 3 == 0).alias("is_good"),
+        F.concat(F.lit("plan "), F.col("record_id").cast("string")).alias("candidate"),
+        (F.col("record_id") % 2 == 0).alias("candidate_valid"),
+        (F.col("record_id") % 5 == 0).alias("is_loop"),
+        (F.col("record_id") % 6 - 2).alias("loop_count"),
     )
-    return rollup.plan_result(evaluated)
+    reasons = rollup.reason_list(found.where(F.col("record_id") % 7 != 0), ["record_id"])
+    rows = rollup.plan_result(records, reasons, rollup.suggestion_list(found, ["record_id"]))
+    return rows.withColumns({c: F.array_join(c, "|") for c in ("reasons", "suggestions")})

@@ -142,8 +142,8 @@ def report_summary(spark, sf):
     "report_rows",
     rel.with_sql(
         "q issues",
-        "SELECT q.doc_id + 1 AS row, CASE WHEN q.doc_id % 2 = 0 THEN 'doc\\|' || q.doc_id ELSE 'item[' || q.doc_id || ']' END AS id, coalesce(s.st, 'good') AS status, 'skipped' AS repair, "
-        "coalesce(l.issues, '') AS issues, coalesce(array_to_string(r.texts[1:2], '; '), '') AS reasons, coalesce(array_to_string(g.texts[1:2], '; '), '') AS suggestions FROM q "
+        "SELECT q.doc_id + 1 AS row, 0::INT AS part, CASE WHEN q.doc_id % 2 = 0 THEN 'doc\\|' || q.doc_id ELSE 'item[' || q.doc_id || ']' END AS id, coalesce(s.st, 'good') AS status, 'skipped' AS repair, "
+        "coalesce(l.issues, '') AS issues, coalesce(array_to_string(r.texts, '; '), '') AS reasons, coalesce(array_to_string(g.texts, '; '), '') AS suggestions FROM q "
         f"LEFT JOIN (SELECT doc_id, {STATUS} AS st FROM i GROUP BY doc_id) s ON s.doc_id = q.doc_id "
         "LEFT JOIN (SELECT doc_id, string_agg(label || CASE WHEN n > 1 THEN ' x' || n ELSE '' END, '; ' ORDER BY pos) AS issues FROM (SELECT doc_id, category || '(' || severity || ')' AS label, min(pos) AS pos, count(*) AS n "
         "FROM i GROUP BY 1, 2) a GROUP BY doc_id) l ON l.doc_id = q.doc_id "

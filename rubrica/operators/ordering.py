@@ -91,3 +91,18 @@ def joined_top(
 def first_seen(df: DataFrame, keys: list[str], text: str, order: Column, name: str = "pos") -> DataFrame:
     """Distinct texts of each key with the position at which each was first seen."""
     return df.filter(F.col(text).isNotNull()).groupBy(*keys, text).agg(F.min(order).alias(name))
+
+
+def ordered_pieces(
+    df: DataFrame, keys: list[str], text: str, pos: str, name: str, size: int = 1000, width: int = 1 << 16
+) -> DataFrame:
+    """Texts of each key in order of position as pieces (…, part, name ARRAY) of at most `size` texts.
+
+    Texts are numbered bucket by bucket of `width` positions and gathered piece by piece, so a list of any length is whole
+    and no task or buffer holds more of it than a piece.
+    """
+    at = F.col(pos).cast("bigint")
+    numbered = split_row_number(df, keys, [F.floor(at / width)], [at, F.col(text)], "__n")
+    part = F.floor((F.col("__n") - 1) / size).cast("int")
+    gathered = numbered.groupBy(*keys, part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("__n", text))).alias("__listed"))
+    return gathered.select(*keys, "part", F.transform("__listed", lambda x: x[text]).alias(name))

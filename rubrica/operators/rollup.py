@@ -186,11 +186,12 @@ def batch_reasons(reasons: DataFrame, order: Column) -> DataFrame:
     return reasons.filter(F.coalesce("text", F.lit("")) != "").groupBy("kind", "text").agg(F.min(order).alias("at"))
 
 
-def report_rows(documents: DataFrame, issues: DataFrame) -> DataFrame:
-    """One report row per document: id, status, repair, the issues in short and two reasons and suggestions.
+def report_rows(documents: DataFrame, issues: DataFrame, shown: int | None = None, size: int = 1000) -> DataFrame:
+    """Report rows per document: id, status, repair, the issues in short, and all distinct reasons and suggestions.
 
-    documents: (doc_id, index, id, status, repair_status). The list of a document's issues is ordered inside the
-    aggregate's own result, and only distinct (category, severity) pairs with their counts are put into it.
+    documents: (doc_id, index, id, status, repair_status). `shown` asks for the first reasons and suggestions only. A list of more
+    than `size` texts goes on in further rows of the same document (`part`), so no list is cut and none has to fit into one
+    buffer. The issues are distinct (category, severity) pairs with their numbers, as few as the format has.
     """
     keys = ["doc_id"]
     pair = F.concat(F.col("category"), F.lit("("), F.col("severity"), F.lit(")"))
@@ -205,19 +206,26 @@ def report_rows(documents: DataFrame, issues: DataFrame) -> DataFrame:
         ).alias("issues")
     )
 
-    def two(column: str) -> DataFrame:
+    def listed(column: str) -> DataFrame:
         seen = _first_texts(issues, F.col(column), keys)
-        return ordering.joined_top(seen, keys, [F.col("pos"), F.col("text")], "text", 2, "; ", column)
-
-    joined = documents.join(labelled, keys, "left").join(two("reason"), keys, "left").join(two("suggestion"), keys, "left")
+        if shown is not None:
+            seen = ordering.top_rows(seen, keys, [F.col("pos"), F.col("text")], shown).drop("__rank")
+        return ordering.ordered_pieces(seen, keys, "text", "pos", column, size)
+
+    parts = documents.select("doc_id", F.lit(0).alias("part"))
+    lists = listed("reason").join(listed("suggestion"), ["doc_id", "part"], "full_outer")
+    pieces = parts.join(lists, ["doc_id", "part"], "full_outer")
+    joined = documents.join(pieces, keys).join(labelled, keys, "left")
+    cell = lambda c: t.cell_text(F.array_join(c, "; "))
     return joined.select(
         (F.col("index") + 1).alias("row"),
+        "part",
         t.cell_text(F.coalesce("id", F.concat(F.lit("item["), F.col("index").cast("string"), F.lit("]")))).alias("id"),
         "status",
         F.col("repair_status").alias("repair"),
-        t.cell_text(F.col("issues")).alias("issues"),
-        t.cell_text(F.col("reason")).alias("reasons"),
-        t.cell_text(F.col("suggestion")).alias("suggestions"),
+        t.cell_text(F.when(F.col("part") == 0, F.col("issues"))).alias("issues"),
+        cell(F.col("reason")).alias("reasons"),
+        cell(F.col("suggestion")).alias("suggestions"),
     )
 
 
@@ -244,18 +252,30 @@ def public_result(documents: DataFrame, issues: DataFrame, debug: bool = False)
     return documents.select(*base).join(six, "doc_id", "left")
 
 
-def plan_result(evaluations: DataFrame) -> DataFrame:
-    """Service rows: a good record has no lists and no plan; a bad one a reason, and a plan only if it is valid.
+NO_REASON = "The plan is not good enough, but no reason was given."
+
 
-    evaluations: (record_id, is_good, n_reasons, n_suggestions, candidate, candidate_valid, is_loop, loop_count).
+def plan_result(evaluations: DataFrame, reasons: DataFrame, suggestions: DataFrame, size: int = 1000) -> DataFrame:
+    """Service rows with their lists: a good record has none and no plan; a bad one a reason, and a plan only if it is valid.
+
+    evaluations: (record_id, is_good, candidate, candidate_valid, is_loop, loop_count); reasons, suggestions: (record_id, text,
+    pos), distinct. Lists of more than `size` texts go on in further rows of the same record (`part`).
     """
     good = F.coalesce("is_good", F.lit(False))
-    zero = F.lit(0).cast("bigint")
-    return evaluations.select(
+    keys = ["record_id"]
+    lists = ordering.ordered_pieces(reasons, keys, "text", "pos", "reasons", size).join(
+        ordering.ordered_pieces(suggestions, keys, "text", "pos", "suggestions", size), [*keys, "part"], "full_outer"
+    )
+    bad = evaluations.where(~good).select("record_id")
+    pieces = evaluations.select("record_id", F.lit(0).alias("part")).join(lists.join(bad, keys, "left_semi"), [*keys, "part"], "full_outer")
+    none = F.array().cast("array<string>")
+    first = F.col("part") == 0
+    return evaluations.join(pieces, keys).select(
         "record_id",
+        "part",
         good.alias("is_good"),
-        F.when(good, zero).otherwise(F.greatest(F.col("n_reasons"), F.lit(1).cast("bigint"))).alias("n_reasons"),
-        F.when(good, zero).otherwise(F.col("n_suggestions")).alias("n_suggestions"),
+        F.coalesce("reasons", F.when(first & ~good, F.array(F.lit(NO_REASON))).otherwise(none)).alias("reasons"),
+        F.coalesce("suggestions", none).alias("suggestions"),
         F.when(~good & F.col("candidate_valid"), F.col("candidate")).alias("new_plan"),
         F.coalesce("is_loop", F.lit(False)).alias("is_loop"),
         F.greatest(F.coalesce(F.col("loop_count").try_cast("int"), F.lit(0)), F.lit(0)).alias("loop_count"),

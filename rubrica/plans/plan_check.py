@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from rubrica.operators import consensus, contracts, coverage, requests, rules_plan
+from rubrica.operators import contracts, requests, rules_plan
 
 
 def structural_stage(records: DataFrame) -> dict[str, DataFrame]:
@@ -16,18 +16,3 @@ def structural_stage(records: DataFrame) -> dict[str, DataFrame]:
         "prefilled": contracts.structural_rows(records, rollup),
         "requests": requests.plan_request(rules_plan.valid_records(records)),
     }
-
-
-def evaluation_stage(replies: DataFrame) -> DataFrame:
-    """One evaluation per record from primary and fallback replies (record_id, model_tier, content, latency)."""
-    checked = contracts.check_plan_replies(replies).withColumnRenamed("overall_status", "status")
-    primary = checked.filter(F.col("model_tier") == "fast")
-    asked = primary.filter(consensus.needs_fallback(F.col("valid"), F.col("confidence"), F.col("status")))
-    second = checked.filter(F.col("model_tier") == "strong").join(asked.select("record_id"), "record_id", "left_semi")
-    return consensus.choose_plan_reply(primary, second)
-
-
-def normalized_evaluations(checked: DataFrame) -> DataFrame:
-    """Consistent evaluations of the valid replies among checked ones (record_id, valid, reply)."""
-    typed = coverage.evaluations_from_replies(checked.filter("valid").select("record_id", "reply"))
-    return coverage.coverage_consistency(typed)

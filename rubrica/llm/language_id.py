@@ -9,12 +9,12 @@ Bounds: the classifiers are fitted on about SAMPLE labelled rows, spread evenly
 Everything else covers all rows, and every text is read whole.
 
 Defined results: `und` with score 0 where the text is null or has no letter, or where nothing is labelled; with one
-language only, that one with score 1; a null doc_id counts as the empty text; repeated rows are predicted each.
+language only, that one with score 1; a null doc_id counts as the empty text; repeated rows are predicted each; bytes that
+are no UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import product
 
@@ -30,7 +30,6 @@ STEPS, RATE, DECAY = 120, 2.0, 1e-5
 #: A text is ambiguous if the runner-up has at least this share of the winner's probability.
 AMBIGUOUS = 0.5
 
-_LETTER = re.compile(r"[^\W\d_]")
 _CLASS = np.full(256, 32, np.uint8)
 _CLASS[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _CLASS[128:] = np.arange(128, 256)
@@ -38,7 +37,7 @@ _CLASS[128:] = np.arange(128, 256)
 
 def grams(text: str) -> np.ndarray | None:
     """Numbers of a text's hashed n-grams of 1 to 4 bytes, other bytes than letters as spaces; None without letters."""
-    if not _LETTER.search(text):
+    if not any(map(str.isalpha, text)):  # numbers of other kinds, as ² ½ Ⅷ, are no letters
         return None
     b = _CLASS[np.frombuffer(f" {text.lower()} ".encode(), np.uint8)].astype(np.uint32)
     h, out = b * np.uint32(2654435761), np.zeros(SIZE, np.int64)
@@ -137,7 +136,7 @@ def fit(docs: DataFrame) -> Model:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist()):
-                counts = grams(text.as_py().decode())
+                counts = grams(text.as_py().decode(errors="replace"))
                 if counts is not None:
                     at = np.flatnonzero(counts).astype(np.int16)
                     row = [pa.array([lang]), pa.array([at.tobytes()]), pa.array([np.minimum(counts[at], 65535).astype(np.uint16).tobytes()])]
@@ -159,7 +158,7 @@ def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(t.as_py().decode()) for t in batch.column("text")]
+            found = [shared.value.predict(t.as_py().decode(errors="replace")) for t in batch.column("text")]
             columns = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *columns], ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 

@@ -1,7 +1,8 @@
 """Personal data by weak supervision.
 
 Emails, IP addresses, card and phone numbers are found by their patterns and always stay. Other strings that mix letters
-and digits may be secrets; on each of these candidates regex, gazetteer and context labelers vote. From the counts of all
+and digits may be secrets; on each of these candidates labelers of pattern, shape and context vote;
+no list of names or places is among them, so `secret` is the only kind that is added. From the counts of all
 votes over the corpus, expectation-maximisation estimates how reliable each labeler is and how likely each candidate is a
 secret; these soft labels train the final span classifier, a logistic regression over votes and shape, whose spans of
 kind `secret` are added.
@@ -10,7 +11,7 @@ Patterns are applied left to right without overlap within a kind; a match that f
 tried again shorter. Candidates that touch a pattern's span are left out.
 
 Defined results: a null text equals an empty one and has no spans; rows that repeat a doc_id each get a row; offsets
-count code points, the end exclusive; an empty table gives an empty result. Other columns are ignored.
+count code points, the end exclusive; bytes that are no UTF-8 count as U+FFFD; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -174,7 +175,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for value in batch.column("text"):
-            text = value.as_py().decode()
+            text = value.as_py().decode(errors="replace")
             base = base_spans(text)
             cands = candidates(text, base)
             kinds = [k for k, _, _ in base]

@@ -8,8 +8,8 @@ truncated at it, and which quantile it is. Between two neighbouring lengths the
 Lengths are counted in each task before they are shuffled, so the work after that is one small row per distinct length.
 Sums run inside blocks of lengths and are offset by the sums of later blocks, so no task gets all lengths.
 
-Defined results: a null or empty text has length 0; rows that repeat a doc_id count each; an empty table gives an
-empty histogram.
+Defined results: a null or empty text has length 0; bytes that are no UTF-8 count as U+FFFD; rows that repeat a doc_id
+count each; an empty table gives an empty histogram.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def _lengths(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, counts = byte_encoder(path).encode_ordinary, Counter()
         for batch in batches:
-            counts.update(len(encode(t.as_py().decode())) for t in batch.column("text"))
+            counts.update(len(encode(t.as_py().decode(errors="replace"))) for t in batch.column("text"))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["n_tokens", "n_docs"])
 
     return run

@@ -7,12 +7,12 @@ if the bound of its cosines can still beat the k-th best. Votes weighted by dist
 calibrated on the examples, each scored without itself.
 
 Bounds: the model is fitted on at most ROWS labelled rows of each label, the first by a hash of doc_id; the index holds
-at most EXAMPLES of their texts, the vocabulary at most TERMS features. Sampled labels are weighted back to the shares
-of all labels. Every text is scored whole.
+at most EXAMPLES of their texts. Every feature that passes the tests below is kept, however many there are; they come from
+the texts of at most ROWS rows. Sampled labels are weighted back to the shares of all labels. Every text is scored whole.
 
 Defined results: a text without features, an empty or a null one get the share of label 1 among labelled texts without
 features; without any labelled row every score is 0; several labels of one document count as several rows; a label that
-is null counts as none; rows that repeat a doc_id are scored each.
+is null counts as none; rows that repeat a doc_id are scored each; bytes that are no UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql.functions import pandas_udf
 from rubrica.llm.common import utf8
 from rubrica.session import cut_lineage
 
-ROWS, TERMS, CANDIDATES, EXAMPLES = 12_000, 1024, 20_000, 4096
+ROWS, EXAMPLES = 12_000, 4096
 BEGINNINGS = (4, 5, 6, 7, 8, 9)
 LEAST_BEGINNING = BEGINNINGS[0]
 NEAREST, BLOCK = 15, 64
@@ -44,7 +44,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 def features(text: bytes) -> Counter:
     """How often each word occurs, and, marked by a star, each beginning of a longer word."""
-    words = Counter(_WORD.findall(text.decode().lower()))
+    words = Counter(_WORD.findall(text.decode(errors="replace").lower()))
     for w, n in list(words.items()):
         for k in BEGINNINGS:
             if len(w) > k:
@@ -74,7 +74,7 @@ def select_terms(train: DataFrame) -> tuple[dict[str, float], int, int]:
     schema = "term string, negative long, positive long"
     total = [F.sum(c).alias(c) for c in ("negative", "positive")]
     first = train.where("toxic = 1").mapInArrow(_counts(None), schema).groupBy("term").agg(*total).where(F.col("positive") >= LEAST)
-    known = {r.term: r.positive for r in first.orderBy(F.desc("positive"), "term").limit(CANDIDATES).collect()}
+    known = {r.term: r.positive for r in first.collect()}
     other = train.where("toxic = 0").mapInArrow(_counts(frozenset(known)), schema).groupBy("term").agg(*total)
     negative = {r.term: r.negative for r in other.collect()}  # candidates only
     gain = {}
@@ -84,7 +84,7 @@ def select_terms(train: DataFrame) -> tuple[dict[str, float], int, int]:
         if p >= LIFT * q:
             share = (a + b) / (n0 + n1)
             gain[term] = a * math.log(p / share) + (n1 - a + 1e-9) * math.log(max(1e-9, 1 - p) / max(1e-9, 1 - share))
-    best = sorted((t for t in gain if gain[t] > GAIN), key=lambda t: (-gain[t], t))[:TERMS]
+    best = sorted((t for t in gain if gain[t] > GAIN), key=lambda t: (-gain[t], t))
     return {t: math.log((n0 + n1 + 1) / (known[t] + negative.get(t, 0) + 1)) + 1 for t in best}, n0, n1
 
 
@@ -101,7 +101,7 @@ class Vectors:
         """(feature numbers, weights of length 1); empty where no selected feature occurs."""
         own: Counter = Counter()
         names = self.names
-        for w, n in Counter(_WORD.findall(text.decode().lower())).items():
+        for w, n in Counter(_WORD.findall(text.decode(errors="replace").lower())).items():
             if w in names:
                 own[w] += n
             if w[:LEAST_BEGINNING] in self.openings:
@@ -216,7 +216,7 @@ def held_out():
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from labelled rows; what reaches the driver is bounded by TERMS, CANDIDATES and EXAMPLES."""
+    """A model from labelled rows; what reaches the driver are features of at most ROWS texts, and EXAMPLES."""
     train = cut_lineage(labelled(docs, labels))
     idf, n0, n1 = select_terms(train.select("text", "toxic"))
     names = frozenset(idf)
@@ -224,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The text a labelled row leaves when only its selected features count, empty if there are none."""
         for batch in batches:
-            kept = [" ".join(w for w in _WORD.findall(t.as_py().decode().lower()) if w in names or any(f"{w[:k]}*" in names for k in BEGINNINGS if len(w) > k)).encode() for t in batch.column("text")]
+            kept = [" ".join(w for w in _WORD.findall(t.as_py().decode(errors="replace").lower()) if w in names or any(f"{w[:k]}*" in names for k in BEGINNINGS if len(w) > k)).encode() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("weight"), pa.array(kept, pa.binary())], ["doc_id", "toxic", "weight", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

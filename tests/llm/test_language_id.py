@@ -35,3 +35,10 @@ def test_odd_rows(spark):
     assert language_id.languages(unlabelled.limit(0)).count() == 0
     one = spark.createDataFrame([(i, "some text", "en", 1) for i in range(9)], schema)
     assert {(r.lang_pred, r.score) for r in language_id.languages(one).collect()} == {("en", 1.0)}
+
+
+def test_numbers_of_other_kinds_are_no_letters(spark):
+    texts = ["²", "½ ①", "Ⅷ", "12 _ !", "語", "a"]
+    rows = [(10 + i, t, None) for i, t in enumerate(texts)] + [(100 + i, "the cat and the dog", "en") for i in range(9)] + [(200 + i, "le chat et le chien", "fr") for i in range(9)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[10 + i] == ("und", 0.0) for i in range(6)] == [True] * 4 + [False] * 2

@@ -183,9 +183,9 @@ def spec(spark, sf) -> DataFrame:
 def runs(spark, sf) -> DataFrame:
     events = table(spark, sf, "events")
     k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
-    numbered = ordering.split_row_number(
-        events, ["user_id"], [F.to_date("ts")], [F.col("ts"), F.col("event_id")], "rn"
-    )
+    timed = events.withColumn("at", F.unix_micros("ts") if dict(events.dtypes)["ts"] == "timestamp" else F.unix_micros(F.col("ts").cast("timestamp")))
+    bucket = ordering.quantile_bucket(timed, "at", 64)
+    numbered = ordering.split_row_number(timed, ["user_id"], [bucket], [F.col("ts"), F.col("event_id")], "rn")
     return numbered.select(
         F.col("user_id").alias("doc_id"),
         F.floor((F.col("rn") - 1) / 2).alias("pair"),

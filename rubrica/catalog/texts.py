@@ -199,6 +199,30 @@ def spelling_request(spark, sf):
     return hygiene.spelling_request(hygiene.candidate_nodes(nodes, hygiene.text_hygiene(nodes))).select("doc_id", "path", "role")
 
 
+@query(
+    "check_text",
+    rel.with_sql(
+        "nodes",
+        "SELECT d.doc_id, coalesce(f.n_issues, 0) AS n_issues, coalesce(f.n_request, 0) AS n_request FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n_issues, count(DISTINCT pos) AS n_request FROM ("
+        + " UNION ALL ".join(f"SELECT doc_id, pos FROM p WHERE {c}" for c in CONDITIONS.values())
+        + f" UNION ALL SELECT doc_id, pos FROM hit UNION ALL SELECT doc_id, pos FROM ({ACCENTLESS}) a) t GROUP BY doc_id) f ON f.doc_id = d.doc_id",
+        **REPEATS,
+    ),
+)
+def check_text(spark, sf):
+    """Findings and request of every document, from one look at its lines."""
+    lines = F.transform(
+        F.split("text", "\n", -1),
+        lambda line, i: F.struct(
+            F.concat(F.lit("/instruction/"), i.cast("string"), F.lit("/text")).alias("pointer"),
+            F.when(i == 0, "instruction").otherwise("solution").alias("role"),
+            line.alias("text"),
+        ),
+    )
+    found = hygiene.check_text(rel.texts(spark, sf).select("doc_id", lines.alias("nodes")))
+    return found.select("doc_id", F.size("issues").cast("bigint").alias("n_issues"), F.size("request").cast("bigint").alias("n_request"))
+
+
 @query(
     "spelling_merge",
     rel.with_sql(

@@ -123,6 +123,55 @@ def spelling_request(nodes: DataFrame) -> DataFrame:
     )
 
 
+TEXT_ISSUE = "struct<rule:string,severity:string,location:string,reason:string,suggestion:string,corrected_text:string>"
+
+
+def check_text(docs: DataFrame, first_n: int | None = None) -> DataFrame:
+    """Rules and request of each document in one evaluation: docs (doc_id, nodes ARRAY<STRUCT<pointer, role, text, …>>).
+
+    Adds `issues`, all findings in the order of nodes, and `request`, the nodes to ask a model about with their formulas protected: those with a
+    finding; empty where nothing was found. Both come from the same list of findings in the row, so texts are read and checked once.
+    Where findings name none of the nodes, all are asked about, or the first n.
+    """
+    table = {code: rule for code, rule in RULES.items()}
+
+    def looked_at(n: Column, i: Column) -> Column:
+        return t.bind(
+            t.protect_math(n["text"]),
+            lambda protected: F.struct(
+                i.alias("pos"), n["pointer"].alias("path"), n["role"].alias("role"), n["text"].alias("text"), protected.alias("protected"),
+                rule_hits(n["text"], protected, n["role"]).alias("hits"),
+            ),
+        )
+
+    def issue(n: Column, h: Column) -> Column:
+        of = lambda k: t.lookup({code: rule[k] for code, rule in table.items()}, h["rule"])
+        return F.struct(
+            h["rule"].alias("rule"),
+            of(0).alias("severity"),
+            n["path"].alias("location"),
+            F.replace(of(1), F.lit("{}"), F.coalesce(h["detail"], F.lit(""))).alias("reason"),
+            of(2).alias("suggestion"),
+            h["corrected_text"].alias("corrected_text"),
+        )
+
+    # A generated column is not computed again for each use of it.
+    looked = docs.withColumn("looked", F.explode_outer(F.array(F.transform("nodes", looked_at))))
+    issues = F.flatten(F.transform("looked", lambda n: F.transform(n["hits"], lambda h: issue(n, h))))
+    hit = F.filter("looked", lambda n: F.size(n["hits"]) > 0)
+    rest = F.col("looked") if first_n is None else F.slice("looked", 1, first_n)
+    asked = F.when(F.size("issues") > 0, F.when(F.size(hit) > 0, hit).otherwise(rest)).otherwise(F.slice("looked", 1, 0))
+    request = F.transform(
+        asked,
+        lambda n: F.struct(
+            n["pos"].alias("pos"), n["path"].alias("path"), n["role"].alias("role"), n["text"].alias("text"),
+            n["protected"].alias("math_protected_text"), t.math_segments(n["text"]).alias("math_segments"),
+        ),
+    )
+    found = looked.withColumn("issues", F.coalesce(issues, F.array().cast(f"array<{TEXT_ISSUE}>")))
+    return found.withColumn("request", request).drop("looked")
+
+
 def spelling_merge(rule_issues: DataFrame, reply_issues: DataFrame) -> DataFrame:
     """Rule issues and those reply issues whose (location, reason) is not known yet; rules come first."""
     merged = rule_issues.withColumn("turn", F.lit(0)).unionByName(

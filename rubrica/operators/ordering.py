@@ -15,6 +15,17 @@ def _bucketed(df: DataFrame, bucket: list[Column]) -> tuple[DataFrame, list[str]
     return df.withColumns(dict(zip(names, bucket))), names
 
 
+def quantile_bucket(df: DataFrame, value: str, parts: int = 256) -> Column:
+    """The part of the whole table's order that a row is in, by quantiles of a numeric column.
+
+    Buckets by a unit of the value, as a day, hold what one key has in that unit; these hold about a `parts`-th of all rows, so a
+    key with a third of them is spread over a third of the buckets, wherever its rows lie. Rows of one value stay together.
+    """
+    bounds = df.select(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10 * parts).alias("q")).first().q or []
+    distinct = sorted(set(bounds))
+    return F.size(F.filter(F.array(*[F.lit(b) for b in distinct]), lambda b: b <= F.col(value))) if distinct else F.lit(0)
+
+
 def split_running_sum(
     df: DataFrame, keys: list[str], bucket: list[Column], order: list[Column], value: Column, name: str
 ) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rubrica.functions import variants as v
 from rubrica.operators.flatten import document_id
@@ -13,20 +13,35 @@ BOM = "\ufeff"
 def read_documents(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
     """Payloads as (batch_id, payload VARIANT), NULL where the text is no JSON.
 
-    A payload is one line, so that large files are split over tasks, or without `lines` a whole file.
+    A payload is one line, so that large files are split over tasks, or without `lines` a whole file. A line's id is its file
+    and its number in it, from 0: the number of lines in the file's earlier splits and its place in its own, so it is the same
+    however files are split or a read is repeated. For this the lines are counted once per split; the counts, one row a split,
+    are what is broadcast (100 TB in splits of 128 MB make some 80 MB).
     """
-    raw = spark.read.text(path, wholetext=not lines)
-    body = F.regexp_replace("value", f"^{BOM}", "")
-    file = F.col("_metadata.file_path")
-    batch = F.concat_ws("#", file, F.monotonically_increasing_id().cast("string")) if lines else file
-    return raw.select(batch.alias("batch_id"), F.try_parse_json(body).alias("payload"))
+    file = F.col("_metadata.file_path").alias("file")
+    if not lines:
+        raw = spark.read.text(path, wholetext=True).select("value", file)
+        return raw.select(F.col("file").alias("batch_id"), _payload("value").alias("payload"))
+    raw = spark.read.text(path, lineSep="\n").select(
+        "value", file, F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id")
+    )
+    splits = raw.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    placed = splits.select("file", "start", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    numbered = raw.join(F.broadcast(placed), ["file", "start"])
+    number = (F.col("id") + F.col("shift")).cast("string")
+    return numbered.select(F.concat_ws("#", "file", number).alias("batch_id"), _payload("value").alias("payload"))
+
+
+def _payload(body: str) -> Column:
+    return F.try_parse_json(F.regexp_replace(body, f"^{BOM}", ""))
 
 
 def parse_payloads(texts: DataFrame, batch_id: str, body: str) -> DataFrame:
     """Payloads of a text column."""
     return texts.select(
         F.col(batch_id).alias("batch_id"),
-        F.try_parse_json(F.regexp_replace(body, f"^{BOM}", "")).alias("payload"),
+        _payload(body).alias("payload"),
     )
 
 

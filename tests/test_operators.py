@@ -274,6 +274,53 @@ def test_read_unwrap_write(spark, tmp_path):
     assert replies.read_replies(spark, str(tmp_path / "reply.json")).first().latency == 0.5
 
 
+def test_line_ids_do_not_depend_on_splits(spark, tmp_path):
+    lines = [json.dumps({"_id": f"d{n}", "pad": "x" * (n % 97)}) for n in range(4000)]
+    (tmp_path / "a.json").write_text("\ufeff" + "\n".join(lines), encoding="utf-8")
+    (tmp_path / "b.json").write_text("\r\n".join(lines[:50]) + "\n\n7\n", encoding="utf-8")
+    ids = {}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "9k", "1k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            read = documents.read_documents(spark, str(tmp_path))
+            ids[size] = sorted((r.batch_id.rsplit("/", 1)[1], r.name) for r in read.select("batch_id", F.try_variant_get("payload", "$._id", "string").alias("name")).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert ids["128m"] == ids["9k"] == ids["1k"] and len(ids["1k"]) == 4052
+    assert dict(ids["1k"])["a.json#3999"] == "d3999" and dict(ids["1k"])["b.json#49"] == "d49"
+
+
+def test_quantile_buckets_spread_a_hot_key(spark):
+    """A key with a third of all rows, all within one thousandth of the range, takes a few buckets' worth and no more a bucket."""
+    df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.when(F.col("id") % 3 == 0, F.col("id") / 9000).otherwise(F.col("id") * 1.0).alias("at"), "id")
+    bucketed = df.withColumn("b", ordering.quantile_bucket(df, "at", 64))
+    most = bucketed.groupBy("k", "b").count().agg(F.max("count")).first()[0]
+    assert most < 3 * 9000 / 64
+    numbered = ordering.split_row_number(df, ["k"], [ordering.quantile_bucket(df, "at", 64)], [F.col("at"), F.col("id")], "n")
+    hot = numbered.where("k = 7").orderBy("at", "id").collect()
+    assert [r.n for r in hot] == list(range(1, len(hot) + 1))
+
+
+def test_check_text_equals_the_relations(spark):
+    """Issues and request from the row are those of the rules and candidates over node relations, from one scan."""
+    texts = list(TEXTS.values())
+    docs = {"clean": ["Một câu đúng."], "all": texts, "some": ["Một câu đúng.", texts[3], "Câu khác."], "empty": []}
+    rows = [(k, [(f"/instruction/{i}/text", "instruction" if i == 0 else "solution", x) for i, x in enumerate(xs)]) for k, xs in docs.items()]
+    df = spark.createDataFrame(rows, "doc_id string, nodes array<struct<pointer:string,role:string,text:string>>")
+    checked = hygiene.check_text(df)
+    assert checked._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+    nodes = df.select("doc_id", F.posexplode("nodes").alias("pos", "n")).select("doc_id", "pos", "n.*")
+    issues = hygiene.text_hygiene(nodes)
+    want = sorted((r.doc_id, r.rule, r.severity, r.location, r.reason, r.suggestion, r.corrected_text) for r in issues.collect())
+    got = sorted((r.doc_id, *r.i) for r in checked.select("doc_id", F.explode("issues").alias("i")).collect())
+    assert got == want and len({w[1] for w in want}) > 7
+    asked = hygiene.spelling_request(hygiene.candidate_nodes(nodes, issues))
+    want = sorted(map(str, asked.drop("doc_id").collect()))
+    assert sorted(str(r.q) for r in checked.select(F.explode("request").alias("q")).collect()) == want and want
+    assert {r.doc_id: len(r.request) for r in checked.collect()}["clean"] == 0
+
+
 def test_text_nodes_follow_nested_content(spark):
     doc = choice_object()
     doc["instruction"] = [{"id": "o", "type": "box", "content": [block("inner"), {"content": [block("deeper")]}]}, block("after")]

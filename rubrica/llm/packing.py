@@ -35,20 +35,23 @@ from rubrica.session import cut_lineage
 LENGTH, CLOSING = 4096, 2
 DIMENSIONS, BITS = 4, 8
 #: Bytes of ids in one batch of rows.
-BATCH = 4 << 20
+BATCH = 1 << 20
 
 
 @cache
-def signs(dimensions: int = DIMENSIONS) -> np.ndarray:
-    """+1 or -1 for every 16-bit id and dimension, from bits of the id's hash."""
+def hashed(dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
+    """For every 16-bit id some bits of its hash, one for each dimension, and the signs that each pattern of bits stands for."""
     h = np.array([zlib.crc32(i.to_bytes(2, "little")) for i in range(1 << 16)], np.uint32)
-    return np.stack([np.where(h & np.uint32(1 << (7 * d + 3)), 1.0, -1.0) for d in range(dimensions)], axis=1)
+    bits = sum(((h >> np.uint32(7 * d + 3)) & np.uint32(1)) << np.uint32(d) for d in range(dimensions)).astype(np.uint8)
+    patterns = np.arange(1 << dimensions)
+    return bits, np.stack([np.where(patterns >> d & 1, 1.0, -1.0) for d in range(dimensions)], axis=1)
 
 
 def project(ids: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
     """A point, about standard normal in each dimension, from the distinct ids of a text."""
+    bits, signs = hashed(dimensions)
     distinct = np.unique(ids)
-    return signs(dimensions)[distinct].sum(axis=0) / max(1, len(distinct)) ** 0.5
+    return np.bincount(bits[distinct], minlength=len(signs)) @ signs / max(1, len(distinct)) ** 0.5
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:

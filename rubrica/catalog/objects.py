@@ -328,12 +328,12 @@ def census_keys(spark, sf):
 @query(
     "census_report",
     rel.object_sql(
-        f"SELECT 1 AS section_no, 'Counts' AS section, name, CAST(n AS VARCHAR) AS value FROM ({CENSUS_COUNTS}) c "
+        f"SELECT 1 AS section_no, 'Counts' AS section, name, 0::INT AS part, CAST(n AS VARCHAR) AS value FROM ({CENSUS_COUNTS}) c "
         "UNION ALL SELECT CASE facet WHEN 'interaction_type' THEN 3 WHEN 'spec_type' THEN 4 WHEN 'expected_shape' THEN 5 ELSE 6 END, "
         "CASE facet WHEN 'interaction_type' THEN 'Interaction Types' WHEN 'spec_type' THEN 'Answer Spec Types' "
-        f"WHEN 'expected_shape' THEN 'Expected Shapes' ELSE 'Content Block Types' END, name, CAST(n AS VARCHAR) FROM ({CENSUS_TYPES}) y "
+        f"WHEN 'expected_shape' THEN 'Expected Shapes' ELSE 'Content Block Types' END, name, 0::INT, CAST(n AS VARCHAR) FROM ({CENSUS_TYPES}) y "
         "UNION ALL SELECT CASE facet WHEN 'key' THEN 2 WHEN 'config_key' THEN 7 ELSE 8 END, CASE facet WHEN 'key' THEN 'Field Keys' "
-        "WHEN 'config_key' THEN 'Config Keys By Interaction Type' ELSE 'Display Keys By Interaction Type' END, name, "
+        "WHEN 'config_key' THEN 'Config Keys By Interaction Type' ELSE 'Display Keys By Interaction Type' END, name, 0::INT, "
         f"string_agg(key, ', ' ORDER BY key) FROM ({CENSUS_KEYS}) x GROUP BY facet, name",
         upto="sp",
     ),

@@ -104,16 +104,28 @@ def first_seen(df: DataFrame, keys: list[str], text: str, order: Column, name: s
     return df.filter(F.col(text).isNotNull()).groupBy(*keys, text).agg(F.min(order).alias(name))
 
 
-def ordered_pieces(
-    df: DataFrame, keys: list[str], text: str, pos: str, name: str, size: int = 1000, width: int = 1 << 16
+def pieces(
+    df: DataFrame, keys: list[str], text: str, bucket: list[Column], order: list[Column], name: str, size: int = 1000
 ) -> DataFrame:
-    """Texts of each key in order of position as pieces (…, part, name ARRAY) of at most `size` texts.
+    """Texts of each key in order as pieces (…, part, name ARRAY) of at most `size` texts; buckets follow the order.
 
-    Texts are numbered bucket by bucket of `width` positions and gathered piece by piece, so a list of any length is whole
-    and no task or buffer holds more of it than a piece.
+    Texts are numbered bucket by bucket and gathered piece by piece, so a list of any length is whole and no task or
+    buffer holds more of it than a piece.
     """
-    at = F.col(pos).cast("bigint")
-    numbered = split_row_number(df, keys, [F.floor(at / width)], [at, F.col(text)], "__n")
+    numbered = split_row_number(df, keys, bucket, order, "__n")
     part = F.floor((F.col("__n") - 1) / size).cast("int")
     gathered = numbered.groupBy(*keys, part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("__n", text))).alias("__listed"))
     return gathered.select(*keys, "part", F.transform("__listed", lambda x: x[text]).alias(name))
+
+
+def ordered_pieces(
+    df: DataFrame, keys: list[str], text: str, pos: str, name: str, size: int = 1000, width: int = 1 << 16
+) -> DataFrame:
+    """Pieces in order of position, numbered in buckets of `width` positions."""
+    at = F.col(pos).cast("bigint")
+    return pieces(df, keys, text, [F.floor(at / width)], [at, F.col(text)], name, size)
+
+
+def sorted_pieces(df: DataFrame, keys: list[str], text: str, name: str, size: int = 1000) -> DataFrame:
+    """Pieces in order of the texts themselves, numbered in buckets of texts that begin alike."""
+    return pieces(df, keys, text, [F.left(text, F.lit(2))], [F.col(text)], name, size)

@@ -251,6 +251,16 @@ def test_census_of_one_object(spark):
     assert found[("block_type", "text", None)] == 4
 
 
+def test_census_lists_any_number_of_keys(spark):
+    """2500 free keys of one interaction type are listed whole, in order, in lines of at most 1000."""
+    doc = choice_object()
+    doc["questionItems"][0]["interactions"][0]["config"] = {f"k{n:05d}": 1 for n in range(2500)}
+    report = census.census_report(census.key_census(variants(spark, [("d", doc)], name="record")))
+    lines = report.where("section = 'Config Keys By Interaction Type'").orderBy("part").collect()
+    assert [(r.name, r.part, r.value.count(",") + 1) for r in lines] == [("single_choice", 0, 1000), ("single_choice", 1, 1000), ("single_choice", 2, 500)]
+    assert ", ".join(r.value for r in lines).split(", ") == [f"k{n:05d}" for n in range(2500)]
+
+
 # --- sources and sinks -------------------------------------------------------------------------------------------------
 
 

@@ -16,23 +16,22 @@ ODD = re.compile("[\x1c-\x1fƀ-\U0010ffff]")
 LETTER, NUMBER = "a-zªµºß-öø-ſ", "0-9²³¹¼½¾"
 #: How the tokenizer cuts a chunk into words, for these characters.
 WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\t-\r \x85\xa0{LETTER}{NUMBER}]+")
-#: Chunks, and words, remembered in each of two generations at most: some 200 MB of a worker when both are full.
-REMEMBERED, WORDS_REMEMBERED = 500_000, 150_000
+#: Words, and chunks, remembered in each of two generations at most.
+REMEMBERED = 250_000
 
 
 class _Memory(dict):
     """What was computed lately: two generations, of which the older one goes when the newer one is full, so that what
     is used often stays and a worker's memory is bounded."""
 
-    def __init__(self, most: int):
+    def __init__(self):
         self.older: dict = {}
-        self.most = most
 
     def __missing__(self, key: str) -> bytes:
         value = self.older.get(key)
         if value is None:
             value = self.compute(key)
-        if len(self) >= self.most:
+        if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.clear()
         self[key] = value
@@ -43,7 +42,7 @@ class _Words(_Memory):
     def __init__(self, tokenizer):
         from tokenizers import pre_tokenizers
 
-        super().__init__(WORDS_REMEMBERED)
+        super().__init__()
         self.model = tokenizer.model
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.mapped = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0x180)}
@@ -55,7 +54,7 @@ class _Words(_Memory):
 
 class _Chunks(_Memory):
     def __init__(self, tokenizer):
-        super().__init__(REMEMBERED)
+        super().__init__()
         self.words = _Words(tokenizer)
 
     def compute(self, chunk: str) -> bytes:

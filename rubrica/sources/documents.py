@@ -22,15 +22,25 @@ def read_documents(spark: SparkSession, path: str, lines: bool = True) -> DataFr
     if not lines:
         raw = spark.read.text(path, wholetext=True).select("value", file)
         return raw.select(F.col("file").alias("batch_id"), _payload("value").alias("payload"))
-    raw = spark.read.text(path, lineSep="\n").select(
-        "value", file, F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id")
+    rows = numbered(spark, path, "\n").select(F.concat_ws("#", "file", F.col("number").cast("string")).alias("batch_id"), "value")
+    return rows.select("batch_id", _payload("value").alias("payload"))
+
+
+def numbered(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """Texts between separators (file, number from 0, value, size of the file) in splits, numbered as if read in one."""
+    raw = spark.read.text(path, lineSep=separator).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("id"),
     )
     splits = raw.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     placed = splits.select("file", "start", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
-    numbered = raw.join(F.broadcast(placed), ["file", "start"])
-    number = (F.col("id") + F.col("shift")).cast("string")
-    return numbered.select(F.concat_ws("#", "file", number).alias("batch_id"), _payload("value").alias("payload"))
+    return raw.join(F.broadcast(placed), ["file", "start"]).select(
+        "file", (F.col("id") + F.col("shift")).alias("number"), "value", "size"
+    )
 
 
 def _payload(body: str) -> Column:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from rubrica.catalog import relations as rel
 from rubrica.catalog.registry import query
 from rubrica.functions import pointers, text as t, variants as v
 from rubrica.operators import flatten
-from rubrica.sources import documents, sinks
+from rubrica.operators.ordering import split_running_sum
+from rubrica.session import checkpoint_dir
+from rubrica.sources import chunks, documents, replies, sinks
 
 # Payloads of every shape: an object, a list, a wrapper, a scalar and an empty list, in turn.
 PAYLOAD = (
@@ -423,3 +427,93 @@ def case_text(spark, sf):
     docs = rel.table(spark, sf, "conversations").select("conv_id", "turn", doc.alias("doc"))
     parts = [F.nullif(v.content_text(v.get(F.col("doc"), k)), F.lit("")) for k in ("instruction", "stem")]
     return docs.select("conv_id", "turn", F.concat_ws("\n", *parts).alias("case_text"))
+
+
+@query(
+    "payload_elements",
+    "WITH d AS (SELECT doc_id, text, coalesce(source, 'none') AS batch_id, doc_id % 7 = 0 AS two, "
+    "CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END AS k FROM documents), "
+    "p AS (SELECT *, sum(k) OVER (PARTITION BY batch_id ORDER BY doc_id) - k AS before FROM d) "
+    "SELECT batch_id, CAST(before AS INT) AS pos, 'item[' || CAST(before AS INT) || ']' AS id, false AS is_object, "
+    "CAST(NULL AS BIGINT) AS n_text FROM p WHERE two "
+    "UNION ALL SELECT batch_id, CAST(before + k - 1 AS INT), 'd' || doc_id, true, length(text) FROM p",
+)
+def payload_elements(spark, sf):
+    """One payload per source, a bare list or a wrapper with a member before its list; all its documents as elements."""
+    docs = rel.table(spark, sf, "documents").select("doc_id", "text", F.coalesce("source", F.lit("none")).alias("batch_id"))
+    bare = F.length("batch_id") % 2 == 0
+    head = F.when(bare, F.lit("[")).otherwise(F.lit('{"meta": [{"generatedQuestions": []}], "generatedQuestions": ['))
+    element = F.to_json(
+        F.struct(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text", F.array(F.struct("doc_id")).alias("refs"))
+    )
+    firsts = docs.groupBy("batch_id").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
+    written = docs.join(firsts.select("batch_id", F.col("doc_id").alias("first")), "batch_id").select(
+        "batch_id",
+        F.col("doc_id").alias("row"),
+        F.concat(
+            F.when(F.col("doc_id") == F.col("first"), head).otherwise(", "),
+            F.when(F.col("doc_id") % 7 == 0, F.concat(F.col("doc_id").cast("string"), F.lit(", "))).otherwise(""),
+            element,
+        ).alias("body"),
+    )
+    ends = firsts.select("batch_id", (F.col("last") + 1).alias("row"), F.when(bare, "]").otherwise("]}").alias("body"))
+    split = written.unionByName(ends).withColumn("parts", F.split("body", r"\}", -1))
+    split = split.withColumns({"closed": F.element_at("parts", -1) == "", "parts": F.filter("parts", lambda x, i: (x != "") | (i < F.size("parts") - 1))})
+    sized = split.withColumn("k", F.size("parts").cast("bigint"))
+    placed = split_running_sum(
+        sized.select("batch_id", "row", "k"), ["batch_id"], [F.floor(F.col("row") / 1000)], [F.col("row")], F.col("k"), "upto"
+    )
+    given = sized.join(placed.select("batch_id", "row", (F.col("upto") - F.col("k")).alias("before")), ["batch_id", "row"]).select(
+        "batch_id", "before", "closed", "k", F.posexplode("parts").alias("at", "value")
+    )
+    pieces = given.select(
+        "batch_id", (F.col("before") + F.col("at")).alias("n"), "value", (F.col("closed") | (F.col("at") < F.col("k") - 1)).alias("closed")
+    )
+    return chunks.split_elements(pieces).select(
+        "batch_id", "pos", "id", "is_object", F.length(F.try_variant_get("doc", "$.text", "string")).cast("bigint").alias("n_text")
+    )
+
+
+@query(
+    "read_replies",
+    "SELECT 'e' || event_id AS doc_id, CASE event_id % 3 WHEN 0 THEN 'split' WHEN 1 THEN 'judge' ELSE 'resolver' END AS stage, "
+    "CAST(event_id % 2 AS INT) AS run_no, props AS content, value AS latency, CAST(NULL AS INT) AS round FROM events",
+)
+def read_replies(spark, sf):
+    """Replies written as results by every task and read with the schema of replies; what was not written is NULL."""
+    stage = F.when(F.col("event_id") % 3 == 0, "split").when(F.col("event_id") % 3 == 1, "judge").otherwise("resolver")
+    given = rel.table(spark, sf, "events").select(
+        F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("doc_id"),
+        stage.alias("stage"),
+        (F.col("event_id") % 2).cast("int").alias("run_no"),
+        F.col("props").alias("content"),
+        F.col("value").alias("latency"),
+    )
+    folder = f"{checkpoint_dir(spark)}/replies-{uuid4().hex}"
+    sinks.write_results(given, folder)
+    return replies.read_replies(spark, folder).select("doc_id", "stage", "run_no", "content", "latency", "round")
+
+
+@query(
+    "choices",
+    "WITH e AS (SELECT event_id, event_type, CAST(event_id % 4 AS INT) AS n FROM events) "
+    "SELECT event_id, CASE event_id % 5 WHEN 3 THEN 1 WHEN 4 THEN 0 ELSE n END AS n_choices, "
+    "CASE WHEN event_id % 5 = 3 THEN event_type WHEN event_id % 5 < 3 AND n > 0 THEN event_type || '0' END AS first_choice FROM e",
+)
+def choices(spark, sf):
+    """Choices under the keys of the configuration, which go before those of the interaction; a key that is no list is passed over."""
+    events = rel.table(spark, sf, "events")
+    listed = F.expr("transform(slice(array(0, 1, 2), 1, cast(event_id % 4 as int)), m -> concat(event_type, m))")
+    whole = F.to_json(listed)
+    one = F.to_json(F.array("event_type"))
+    body = (
+        F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('{"config": {"choices": '), whole, F.lit('}, "options": ["x"]}')))
+        .when(F.col("event_id") % 5 == 1, F.concat(F.lit('{"config": {"options": 5, "answers": '), whole, F.lit('}, "items": ["x"]}')))
+        .when(F.col("event_id") % 5 == 2, F.concat(F.lit('{"config": "none", "statements": '), whole, F.lit("}")))
+        .when(F.col("event_id") % 5 == 3, F.concat(F.lit('{"answers": ["x", "y"], "options": null, "items": '), one, F.lit("}")))
+        .otherwise(F.lit('{"config": {"options": {}}, "choices": "x"}'))
+    )
+    found = v.choices(F.try_parse_json(body))
+    return events.select(
+        "event_id", F.size(found).alias("n_choices"), F.try_variant_get(F.get(found, F.lit(0)), "$", "string").alias("first_choice")
+    )

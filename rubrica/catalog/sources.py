@@ -10,7 +10,6 @@ from rubrica.catalog import relations as rel
 from rubrica.catalog.registry import query
 from rubrica.functions import pointers, text as t, variants as v
 from rubrica.operators import flatten
-from rubrica.operators.ordering import split_running_sum
 from rubrica.session import checkpoint_dir
 from rubrica.sources import chunks, documents, replies, sinks
 
@@ -433,45 +432,31 @@ def case_text(spark, sf):
     "payload_elements",
     "WITH d AS (SELECT doc_id, text, coalesce(source, 'none') AS batch_id, doc_id % 7 = 0 AS two, "
     "CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END AS k FROM documents), "
-    "p AS (SELECT *, sum(k) OVER (PARTITION BY batch_id ORDER BY doc_id) - k AS before FROM d) "
-    "SELECT batch_id, CAST(before AS INT) AS pos, 'item[' || CAST(before AS INT) || ']' AS id, false AS is_object, "
-    "CAST(NULL AS BIGINT) AS n_text FROM p WHERE two "
-    "UNION ALL SELECT batch_id, CAST(before + k - 1 AS INT), 'd' || doc_id, true, length(text) FROM p",
+    "p AS (SELECT *, CAST(sum(k) OVER (PARTITION BY batch_id ORDER BY doc_id) AS INT) AS upto FROM d) "
+    "SELECT batch_id, upto AS pos, 'd' || doc_id AS id, true AS is_object, length(text) AS n_text FROM p "
+    "UNION ALL SELECT batch_id, upto - 1, 'item[' || (upto - 1) || ']', false, NULL FROM p WHERE two "
+    "UNION ALL SELECT DISTINCT batch_id, 0, 'item[0]', false, NULL FROM p",
 )
 def payload_elements(spark, sf):
     """One payload per source, a bare list or a wrapper with a member before its list; all its documents as elements."""
     docs = rel.table(spark, sf, "documents").select("doc_id", "text", F.coalesce("source", F.lit("none")).alias("batch_id"))
     bare = F.length("batch_id") % 2 == 0
-    head = F.when(bare, F.lit("[")).otherwise(F.lit('{"meta": [{"generatedQuestions": []}], "generatedQuestions": ['))
-    element = F.to_json(
-        F.struct(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text", F.array(F.struct("doc_id")).alias("refs"))
-    )
-    firsts = docs.groupBy("batch_id").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
-    written = docs.join(firsts.select("batch_id", F.col("doc_id").alias("first")), "batch_id").select(
-        "batch_id",
-        F.col("doc_id").alias("row"),
-        F.concat(
-            F.when(F.col("doc_id") == F.col("first"), head).otherwise(", "),
-            F.when(F.col("doc_id") % 7 == 0, F.concat(F.col("doc_id").cast("string"), F.lit(", "))).otherwise(""),
-            element,
-        ).alias("body"),
-    )
-    ends = firsts.select("batch_id", (F.col("last") + 1).alias("row"), F.when(bare, "]").otherwise("]}").alias("body"))
-    split = written.unionByName(ends).withColumn("parts", F.split("body", r"\}", -1))
-    split = split.withColumns({"closed": F.element_at("parts", -1) == "", "parts": F.filter("parts", lambda x, i: (x != "") | (i < F.size("parts") - 1))})
-    sized = split.withColumn("k", F.size("parts").cast("bigint"))
-    placed = split_running_sum(
-        sized.select("batch_id", "row", "k"), ["batch_id"], [F.floor(F.col("row") / 1000)], [F.col("row")], F.col("k"), "upto"
-    )
-    given = sized.join(placed.select("batch_id", "row", (F.col("upto") - F.col("k")).alias("before")), ["batch_id", "row"]).select(
-        "batch_id", "before", "closed", "k", F.posexplode("parts").alias("at", "value")
-    )
-    pieces = given.select(
-        "batch_id", (F.col("before") + F.col("at")).alias("n"), "value", (F.col("closed") | (F.col("at") < F.col("k") - 1)).alias("closed")
-    )
-    return chunks.split_elements(pieces).select(
-        "batch_id", "pos", "id", "is_object", F.length(F.try_variant_get("doc", "$.text", "string")).cast("bigint").alias("n_text")
-    )
+    refs = F.array(F.struct("doc_id")).alias("refs")
+    element = F.to_json(F.struct(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text", refs))
+    number = F.when(F.col("doc_id") % 7 == 0, F.concat(F.col("doc_id").cast("string"), F.lit(", "))).otherwise("")
+    # The chunks of a document follow each other below those of the next one.
+    step = 1 << 32
+    written = docs.select("batch_id", ((F.col("doc_id") + 1) * step).alias("at"), F.concat(F.lit(", "), number, element).alias("body"))
+    sources = docs.select("batch_id").distinct()
+    head = F.when(bare, "[0").otherwise('{"meta": [{"generatedQuestions": []}], "generatedQuestions": [0')
+    heads = sources.select("batch_id", F.lit(0).cast("bigint").alias("at"), head.alias("body"))
+    ends = sources.select("batch_id", F.lit(1 << 62).alias("at"), F.when(bare, "]").otherwise("]}").alias("body"))
+    split = written.unionByName(heads).unionByName(ends).select("batch_id", "at", F.split("body", r"\}", -1).alias("parts"))
+    cut = split.select("batch_id", "at", F.size("parts").alias("k"), F.posexplode("parts").alias("i", "value"))
+    pieces = cut.select("batch_id", (F.col("at") + F.col("i")).alias("n"), "value", (F.col("i") < F.col("k") - 1).alias("closed"))
+    found = chunks.split_elements(pieces.filter((F.col("value") != "") | F.col("closed")), 1000 * step)
+    n_text = F.length(F.try_variant_get("doc", "$.text", "string")).cast("bigint")
+    return found.select("batch_id", "pos", "id", "is_object", n_text.alias("n_text"))
 
 
 @query(

@@ -125,13 +125,14 @@ def _until_closed(text: Column, inside: Column, depth: Column) -> Column:
     return F.aggregate(F.split(text, r"\]", -1), start, step)["place"]
 
 
-def _facts(chunks: DataFrame) -> DataFrame:
-    """Narrow rows: the state in which each chunk begins and what it does to the depth."""
+def _facts(chunks: DataFrame, width: int) -> DataFrame:
+    """Narrow rows: the state in which each chunk begins and what it does to the depth. The texts are read once for them."""
     bare = chunks.select("batch_id", "n", "value", "closed", _plain(F.col("value")).alias("bare"))
     both = bare.select(
         "batch_id",
         "n",
         "closed",
+        F.col("value").rlike(r"\S").alias("filled"),
         _quotes(F.col("bare")).alias("quotes"),
         _brackets(F.col("bare")).alias("outer"),
         _brackets(F.col("bare"), True).alias("inner"),
@@ -139,19 +140,20 @@ def _facts(chunks: DataFrame) -> DataFrame:
         F.when(F.col("n") == 0, _lowest(_brackets(_plain(_rest(F.col("value"), F.lit(0)))))).alias("first_low"),
         _openings(F.col("value")).alias("openings"),
     )
-    measured = both.select(
-        "batch_id", "n", "closed", "first", "first_low", "openings",
+    kept = ["batch_id", "n", "closed", "filled", "first", "first_low", "openings"]
+    measured = cut_lineage(both.select(
+        *kept,
         (F.col("quotes") % 2).alias("quotes"),
         _depth(F.col("outer")).alias("d0"), _lowest(F.col("outer")).alias("low0"),
         _depth(F.col("inner")).alias("d1"), _lowest(F.col("inner")).alias("low1"),
-    )
-    at = [F.floor(F.col("n") / BUCKET)]
+    ))
+    at = [F.floor(F.col("n") / width)]
     stated = split_running_sum(measured, ["batch_id"], at, [F.col("n")], F.col("quotes"), "q")
     inside = (F.col("q") - F.col("quotes")) % 2 == 1
     # The brace after the chunk counts where it is in no string.
     shut = F.when(F.col("closed") & (F.col("q") % 2 == 0), 1).otherwise(0)
     moved = stated.select(
-        "batch_id", "n", "closed", "first", "first_low", "openings",
+        *kept,
         inside.alias("inside"),
         (shut == 1).alias("shut"),
         (F.when(inside, F.col("d1")).otherwise(F.col("d0")) - shut).alias("d"),
@@ -185,8 +187,11 @@ def _lists(facts: DataFrame) -> DataFrame:
     return lists.join(closed, "batch_id")
 
 
-def split_elements(chunks: DataFrame) -> DataFrame:
-    """Elements (batch_id, pos, id, doc, is_object, parsed) of chunked payloads (batch_id, n from 0, value, closed).
+def split_elements(chunks: DataFrame, width: int = BUCKET) -> DataFrame:
+    """Elements (batch_id, pos, id, doc, is_object, parsed) of chunked payloads (batch_id, n, value, closed).
+
+    The first chunk of a payload has n = 0, the others follow in any steps; the sums of `width` numbers are formed in one task. Texts
+    may be cut anywhere but within an escape or the wrapper's key, and `closed` says that a brace follows.
 
     A payload is a list, an object with a list under the wrapper's key at any place, or a single object, whose only element it is;
     any other gives no row. Elements that are no objects are kept and flagged. What does not parse on its own (deeper or larger
@@ -194,11 +199,11 @@ def split_elements(chunks: DataFrame) -> DataFrame:
     each with `doc` NULL and `parsed` false, at the position of the first element they hold or past the last; other elements
     stand. What follows the wrapper's list is not looked at, and a repeated key counts once, the first.
     """
-    facts = _facts(chunks)
+    facts = _facts(chunks, width)
     lists = _lists(facts)
     listed = facts.join(lists, "batch_id").filter((F.col("n") >= F.col("n0")) & (F.col("n1").isNull() | (F.col("n") <= F.col("n1"))))
     ends = F.col("shut") & (F.col("after") == F.col("base")) & (F.col("n1").isNull() | (F.col("n") < F.col("n1")))
-    at = [F.floor(F.col("n") / BUCKET)]
+    at = [F.floor(F.col("n") / width)]
     parted = split_running_sum(listed, ["batch_id"], at, [F.col("n")], F.when(ends, 1).otherwise(0).cast("bigint"), "piece")
     parted = parted.select(
         "batch_id", "n", "inside", "before", "i", "base",
@@ -228,10 +233,10 @@ def split_elements(chunks: DataFrame) -> DataFrame:
             F.max(F.coalesce("closes", F.lit(False)) & (F.col("base") > 0)).alias("last"),
         )
     )
-    return _parsed(bodies, facts, lists, chunks)
+    return _parsed(bodies, facts, lists)
 
 
-def _parsed(bodies: DataFrame, facts: DataFrame, lists: DataFrame, chunks: DataFrame) -> DataFrame:
+def _parsed(bodies: DataFrame, facts: DataFrame, lists: DataFrame) -> DataFrame:
     body = F.regexp_replace("body", r"^\s+", "")
     inner = F.when(F.col("piece") == 0, F.regexp_replace(body, "^\ufeff", "")).when(body.startswith(","), F.substring(body, 2, OUTERMOST))
     # The end of a list without a comma is no element; after a comma there has to be one.
@@ -250,7 +255,7 @@ def _parsed(bodies: DataFrame, facts: DataFrame, lists: DataFrame, chunks: DataF
     totals = counts.groupBy("batch_id").agg(F.sum("k").alias("k"))
     # Text after the list of a bare list or after a single object, in its own chunk or in later ones.
     after = lists.filter(F.col("base") < 2).select("batch_id", "n1")
-    later = chunks.join(after, "batch_id").filter((F.col("n") > F.col("n1")) & (F.col("value").rlike(r"\S") | F.col("closed"))).select("batch_id")
+    later = facts.join(after, "batch_id").filter((F.col("n") > F.col("n1")) & (F.col("filled") | F.col("closed"))).select("batch_id")
     same = bodies.filter(F.col("tail").rlike(r"\S")).select("batch_id")
     faulty = lists.filter(F.col("n1").isNull()).select("batch_id").unionByName(later).unionByName(same).distinct()
     faults = faulty.join(totals, "batch_id", "left").select(

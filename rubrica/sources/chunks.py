@@ -50,25 +50,28 @@ def _brackets(text: Column, inside: bool = False) -> Column:
     """The brackets outside of strings of an unescaped text that begins outside, or inside, of one."""
     if inside:
         text = F.regexp_replace(text, r'^[^"]*(?:"|\z)', "")
-    return F.regexp_replace(F.regexp_replace(text, r'"[^"]*(?:"|\z)', ""), r"[^\[\]{}]", "")
+    return F.regexp_replace(F.regexp_replace(text, r'"[^"]*(?:"|\z)', ""), r"[^\[\]{},]", "")
 
 
 def _depth(brackets: Column) -> Column:
-    opened = F.length(F.regexp_replace(brackets, r"[\]}]", ""))
-    return 2 * opened - F.length(brackets)
+    opened = F.length(F.regexp_replace(brackets, r"[^\[{]", ""))
+    return opened - F.length(F.regexp_replace(brackets, r"[^\]}]", ""))
 
 
 def _lowest(brackets: Column) -> Column:
-    """The lowest depth within the text, from 0 at its begin."""
+    """The lowest depth within the text, from 0 at its begin, and the number of commas there."""
     walked = F.aggregate(
         F.split(brackets, ""),
-        F.struct(F.lit(0).alias("at"), F.lit(0).alias("low")),
+        F.struct(F.lit(0).alias("at"), F.lit(0).alias("low"), F.lit(0).alias("commas")),
         lambda a, c: F.struct(
             (a["at"] + F.when(c.isin("[", "{"), 1).when(c == "]", -1).otherwise(0)).alias("at"),
-            F.least(a["low"], a["at"] + F.when(c == "]", -1).otherwise(0)).alias("low"),
+            F.when((c == "]") & (a["at"] == a["low"]), a["low"] - 1).otherwise(a["low"]).alias("low"),
+            F.when((c == "]") & (a["at"] == a["low"]), 0)
+            .otherwise(a["commas"] + F.when((c == ",") & (a["at"] == a["low"]), 1).otherwise(0))
+            .alias("commas"),
         ),
     )
-    return walked["low"]
+    return F.struct(walked["low"].alias("low"), walked["commas"].alias("commas"))
 
 
 def _openings(value: Column) -> Column:
@@ -157,21 +160,21 @@ def _facts(chunks: DataFrame, width: int) -> DataFrame:
         inside.alias("inside"),
         (shut == 1).alias("shut"),
         (F.when(inside, F.col("d1")).otherwise(F.col("d0")) - shut).alias("d"),
-        F.when(inside, F.col("low1")).otherwise(F.col("low0")).alias("low"),
+        F.when(inside, F.col("low1")).otherwise(F.col("low0")).alias("lowest"),
     )
     summed = split_running_sum(moved, ["batch_id"], at, [F.col("n")], F.col("d"), "after")
     before = F.col("after") - F.col("d")
-    return cut_lineage(summed.withColumns({"before": before, "low": before + F.col("low")}).drop("d"))
+    return cut_lineage(summed.withColumns({"before": before, "low": before + F.col("lowest.low"), "commas": F.col("lowest.commas")}).drop("d", "lowest"))
 
 
 def _lists(facts: DataFrame) -> DataFrame:
     """One row per payload: where its list begins (n0, i), at what depth, and the chunk that closes it (NULL: none)."""
     key = F.filter("openings", lambda x: (F.col("before") + x["depth"] == 1) & (x["quotes"] == F.col("inside").cast("int")))
     place = lambda rank, n, i, base, low: F.struct(
-        F.lit(rank).alias("rank"), n.alias("n0"), i.alias("i"), F.lit(base).alias("base"), low.alias("tail_low")
+        F.lit(rank).alias("rank"), n.alias("n0"), i.alias("i"), F.lit(base).alias("base"), low.alias("tail")
     )
     whole = F.when(F.col("first") == "[", place(0, F.col("n"), F.lit(0), 1, F.col("first_low"))).when(
-        F.col("first") == "{", place(1, F.col("n"), F.lit(-1), 0, F.lit(0))
+        F.col("first") == "{", place(1, F.col("n"), F.lit(-1), 0, F.struct(F.lit(0).alias("low"), F.lit(0).alias("commas")))
     )
     keyed = F.when(F.size(key) > 0, place(0, F.col("n"), key[0]["i"], 2, key[0]["low"]))
     begun = facts.filter(F.col("first").isin("[", "{") | (F.size("openings") > 0)).select(
@@ -181,9 +184,10 @@ def _lists(facts: DataFrame) -> DataFrame:
     firsts = facts.filter(F.col("first").isin("[", "{")).select("batch_id")
     lists = begun.groupBy("batch_id").agg(F.min("at").alias("at")).join(firsts, "batch_id", "left_semi").select("batch_id", "at.*")
     ended = F.when(F.col("base") == 0, F.col("shut") & (F.col("after") == 0)).otherwise(
-        F.when(F.col("n") == F.col("n0"), F.col("tail_low") < 0).otherwise((F.col("n") > F.col("n0")) & (F.col("low") < F.col("base")))
+        F.when(F.col("n") == F.col("n0"), F.col("tail.low") < 0).otherwise((F.col("n") > F.col("n0")) & (F.col("low") < F.col("base")))
     )
-    closed = facts.join(lists, "batch_id").groupBy("batch_id").agg(F.min(F.when(ended, F.col("n"))).alias("n1"))
+    filled = F.max(F.when(F.col("filled") | F.col("closed"), F.col("n"))).alias("filled_to")
+    closed = facts.join(lists, "batch_id").groupBy("batch_id").agg(F.min(F.when(ended, F.col("n"))).alias("n1"), filled)
     return lists.join(closed, "batch_id")
 
 
@@ -195,76 +199,86 @@ def split_elements(chunks: DataFrame, width: int = BUCKET) -> DataFrame:
 
     A payload is a list, an object with a list under the wrapper's key at any place, or a single object, whose only element it is;
     any other gives no row. Elements that are no objects are kept and flagged. What does not parse on its own (deeper or larger
-    than Spark's parser takes, or no JSON), a list that is never closed, and text after the end of a list or object are one row
-    each with `doc` NULL and `parsed` false, at the position of the first element they hold or past the last; other elements
-    stand. What follows the wrapper's list is not looked at, and a repeated key counts once, the first.
+    than Spark's parser takes, or no JSON) is a row with `doc` NULL and `parsed` false at the position of the first element it
+    holds; a list that is never closed and text after the end of a list or object are such a row at position NULL. Other elements
+    stand, and count as the commas of their list do. What follows the wrapper's list is not looked at, and a repeated key counts once, the first.
     """
     facts = _facts(chunks, width)
-    lists = _lists(facts)
-    listed = facts.join(lists, "batch_id").filter((F.col("n") >= F.col("n0")) & (F.col("n1").isNull() | (F.col("n") <= F.col("n1"))))
-    ends = F.col("shut") & (F.col("after") == F.col("base")) & (F.col("n1").isNull() | (F.col("n") < F.col("n1")))
-    at = [F.floor(F.col("n") / width)]
-    parted = split_running_sum(listed, ["batch_id"], at, [F.col("n")], F.when(ends, 1).otherwise(0).cast("bigint"), "piece")
-    parted = parted.select(
-        "batch_id", "n", "inside", "before", "i", "base",
-        (F.col("n") == F.col("n0")).alias("opens"),
-        (F.col("n") == F.col("n1")).alias("closes"),
-        (F.col("piece") - F.when(ends, 1).otherwise(0)).alias("piece"),
-    )
-    joined = chunks.join(parted, ["batch_id", "n"])
-    text = F.when(F.col("opens"), _rest(F.col("value"), F.col("i"))).otherwise(F.col("value"))
-    joined = joined.withColumn("text", text)
+    # One narrow row per payload, read by both outputs.
+    lists = cut_lineage(_lists(facts))
+    joined = chunks.join(_pieces(facts, lists, width), ["batch_id", "n"])
+    joined = joined.withColumn("text", F.when(F.col("opens"), _rest(F.col("value"), F.col("i"))).otherwise(F.col("value")))
     place = _until_closed(
         F.col("text"),
         F.when(F.col("opens"), False).otherwise(F.col("inside")),
         F.when(F.col("opens"), 0).otherwise(F.col("before") - F.col("base")),
     )
-    ending = F.coalesce(F.col("closes"), F.lit(False)) & (F.col("base") > 0)
-    cut = F.when(ending, F.substring(F.col("text"), F.lit(1), place)).otherwise(
-        F.concat("text", F.when(F.col("closed"), "}").otherwise(""))
-    )
-    tail = F.when(ending & (F.col("base") == 1), F.concat(F.substring(F.col("text"), place + 2, F.length("text")), F.when(F.col("closed"), "}").otherwise("")))
-    bodies = cut_lineage(
-        joined.withColumns({"cut": cut, "tail": tail})
-        .groupBy("batch_id", "piece", "base")
+    brace = F.when(F.col("closed"), "}").otherwise("")
+    cut = F.when(F.col("ending"), F.substring(F.col("text"), F.lit(1), place)).otherwise(F.concat("text", brace))
+    # Text after a bare list in the chunk that closes it, unless later chunks have some too.
+    rest = F.concat(F.substring(F.col("text"), place + 2, F.length("text")), brace).rlike(r"\S")
+    bodies = (
+        joined.withColumns({"cut": cut, "rest": F.when(F.col("ending") & (F.col("base") == 1) & (F.col("n") == F.col("filled_to")), rest)})
+        .groupBy("batch_id", "piece")
         .agg(
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "cut"))), lambda x: x["cut"]), "").alias("body"),
-            F.max("tail").alias("tail"),
-            F.max(F.coalesce("closes", F.lit(False)) & (F.col("base") > 0)).alias("last"),
+            F.min("offset").alias("offset"),
+            F.max("ending").alias("last"),
+            F.coalesce(F.max("rest"), F.lit(False)).alias("rest"),
         )
     )
-    return _parsed(bodies, facts, lists)
+    return _parsed(bodies, lists)
+
+
+def _pieces(facts: DataFrame, lists: DataFrame, width: int) -> DataFrame:
+    """For each chunk of a list the piece it belongs to and how many elements are before this piece, at its first chunk."""
+    listed = facts.join(lists, "batch_id").filter((F.col("n") >= F.col("n0")) & (F.col("n1").isNull() | (F.col("n") <= F.col("n1"))))
+    ends = F.col("shut") & (F.col("after") == F.col("base")) & (F.col("n1").isNull() | (F.col("n") < F.col("n1")))
+    commas = F.when(F.col("n") == F.col("n0"), F.col("tail.commas")).when(F.col("low") == F.col("base"), F.col("commas")).otherwise(0)
+    # Both sums in one pass: ends of pieces above, commas below; a payload has less than 2^31 of either.
+    half = 1 << 31
+    both = F.when(ends, half).otherwise(0).cast("bigint") + F.when(F.col("base") == 0, 0).otherwise(commas)
+    own = listed.withColumn("own", both)
+    summed = split_running_sum(own, ["batch_id"], [F.floor(F.col("n") / width)], [F.col("n")], F.col("own"), "sums")
+    piece = F.floor((F.col("sums") - F.col("own")) / half)
+    return summed.select(
+        "batch_id", "n", "inside", "before", "i", "base", "filled_to",
+        (F.col("n") == F.col("n0")).alias("opens"),
+        (F.coalesce(F.col("n") == F.col("n1"), F.lit(False)) & (F.col("base") > 0)).alias("ending"),
+        piece.alias("piece"),
+        # The comma before a piece's first element is within the piece.
+        ((F.col("sums") - F.col("own")) % half + F.when(piece > 0, 1).otherwise(0)).cast("int").alias("offset"),
+    )
 
 
-def _parsed(bodies: DataFrame, facts: DataFrame, lists: DataFrame) -> DataFrame:
+def _parsed(bodies: DataFrame, lists: DataFrame) -> DataFrame:
     body = F.regexp_replace("body", r"^\s+", "")
     inner = F.when(F.col("piece") == 0, F.regexp_replace(body, "^\ufeff", "")).when(body.startswith(","), F.substring(body, 2, OUTERMOST))
     # The end of a list without a comma is no element; after a comma there has to be one.
     nothing = F.col("last") & (body == "")
-    found = F.when(nothing, F.array().cast("array<variant>")).when(
-        F.trim(F.regexp_replace(inner, r"\s", " ")) != "", v.as_array(F.try_parse_json(F.concat(F.lit("["), inner, F.lit("]"))))
-    )
-    rows = bodies.filter(~nothing).select("batch_id", "piece", found.alias("found"))
-    counts = rows.select("batch_id", "piece", F.coalesce(F.size("found"), F.lit(1)).cast("bigint").alias("k"))
-    placed = split_running_sum(counts, ["batch_id"], [F.floor(F.col("piece") / BUCKET)], [F.col("piece")], F.col("k"), "upto")
-    placed = placed.select("batch_id", "piece", (F.col("upto") - F.col("k")).alias("offset"))
-    elements = rows.join(placed, ["batch_id", "piece"]).select(
-        "batch_id", "offset", F.col("found").isNotNull().alias("parsed"), F.posexplode_outer("found").alias("inner", "doc")
-    )
-    docs = elements.select("batch_id", (F.col("offset") + F.coalesce("inner", F.lit(0))).cast("int").alias("pos"), "doc", "parsed")
-    totals = counts.groupBy("batch_id").agg(F.sum("k").alias("k"))
-    # Text after the list of a bare list or after a single object, in its own chunk or in later ones.
-    after = lists.filter(F.col("base") < 2).select("batch_id", "n1")
-    later = facts.join(after, "batch_id").filter((F.col("n") > F.col("n1")) & (F.col("filled") | F.col("closed"))).select("batch_id")
-    same = bodies.filter(F.col("tail").rlike(r"\S")).select("batch_id")
-    faulty = lists.filter(F.col("n1").isNull()).select("batch_id").unionByName(later).unionByName(same).distinct()
-    faults = faulty.join(totals, "batch_id", "left").select(
-        "batch_id", F.coalesce("k", F.lit(0)).cast("int").alias("pos"), F.lit(None).cast("variant").alias("doc"), F.lit(False).alias("parsed")
+    found = F.when(inner.rlike(r"\S"), v.as_array(F.try_parse_json(F.concat(F.lit("["), inner, F.lit("]")))))
+
+    def entry(pos, doc, parsed):
+        return F.struct(pos.alias("pos"), doc.alias("doc"), F.lit(parsed).alias("parsed"))
+
+    no_doc = F.lit(None).cast("variant")
+    none = F.array().cast("array<struct<pos: int, doc: variant, parsed: boolean>>")
+    held = bodies.withColumn("found", F.when(~nothing, found))
+    entries = (
+        F.when(nothing, none)
+        .when(F.col("found").isNull(), F.array(entry(F.col("offset"), no_doc, False)))
+        .otherwise(F.transform("found", lambda x, i: entry((F.col("offset") + i).cast("int"), x, True)))
     )
+    fault = F.array(entry(F.lit(None).cast("int"), no_doc, False))
+    docs = held.select("batch_id", F.explode(F.concat(entries, F.when(F.col("rest"), fault).otherwise(none))).alias("e")).select("batch_id", "e.*")
+    # Lists and objects without an end, and those with text in chunks after their end.
+    faulty = lists.filter(F.col("n1").isNull() | ((F.col("base") < 2) & (F.col("filled_to") > F.col("n1"))))
+    faults = faulty.select("batch_id", F.lit(None).cast("int").alias("pos"), no_doc.alias("doc"), F.lit(False).alias("parsed"))
+    name = F.concat(F.lit("item["), F.col("pos").cast("string"), F.lit("]"))
     return docs.unionByName(faults).select(
         "batch_id",
         "pos",
-        F.when(F.col("parsed"), document_id(F.col("doc"), F.col("pos"))).otherwise(F.concat(F.lit("item["), F.col("pos").cast("string"), F.lit("]"))).alias("id"),
+        F.when(F.col("parsed"), document_id(F.col("doc"), F.col("pos"))).otherwise(name).alias("id"),
         "doc",
         F.coalesce(v.is_object(F.col("doc")), F.lit(False)).alias("is_object"),
         "parsed",
@@ -278,7 +292,7 @@ def unparsed(elements: DataFrame) -> DataFrame:
         "pos",
         F.lit("bad").alias("severity"),
         F.lit("render_schema").alias("category"),
-        F.format_string(f"{WRAPPER}[%d]", F.col("pos")).alias("location"),
+        F.concat(F.lit(WRAPPER), F.when(F.col("pos").isNotNull(), F.format_string("[%d]", F.col("pos"))).otherwise("")).alias("location"),
         F.lit("This part of the payload cannot be read.").alias("reason"),
         F.lit("Send complete JSON of at most 1000 levels and 128 MiB an element.").alias("suggestion"),
     )

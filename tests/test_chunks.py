@@ -23,7 +23,8 @@ def relation(spark, payloads):
 def read(spark, payloads):
     rows = chunks.split_elements(relation(spark, payloads)).select("batch_id", "pos", F.to_json("doc").alias("doc"), "parsed", "is_object").collect()
     found = {name: [] for name in payloads}
-    for r in sorted(rows, key=lambda r: (r.batch_id, r.pos)):
+    for r in sorted(rows, key=lambda r: (r.batch_id, r.pos is None, r.pos)):
+        assert r.pos in (None, len(found[r.batch_id]))
         found[r.batch_id].append(json.loads(r.doc) if r.parsed else "unread")
         assert r.is_object == (r.parsed and isinstance(found[r.batch_id][-1], dict))
     return found
@@ -96,6 +97,6 @@ def test_files_in_splits(spark, tmp_path, size):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     found = {}
-    for r in sorted(rows, key=lambda r: (r.batch_id, r.pos)):
+    for r in sorted(rows, key=lambda r: (r.batch_id, r.pos is None, r.pos)):
         found.setdefault(r.batch_id.rsplit("/", 1)[1], []).append(r.id if r.parsed else None)
     assert found == {"a.json": [d["id"] for d in listed], "b.json": [d["id"] for d in listed[:5]], "c.json": [None, None]}

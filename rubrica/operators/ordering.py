@@ -22,8 +22,21 @@ def quantile_bucket(df: DataFrame, value: str, parts: int = 256) -> Column:
     key with a third of them is spread over a third of the buckets, wherever its rows lie. Rows of one value stay together.
     """
     bounds = df.select(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10 * parts).alias("q")).first().q or []
-    distinct = sorted(set(bounds))
-    return F.size(F.filter(F.array(*[F.lit(b) for b in distinct]), lambda b: b <= F.col(value))) if distinct else F.lit(0)
+    return _bounds_below(F.col(value), sorted(set(bounds)))
+
+
+def _bounds_below(value: Column, bounds: list, first: int = 0) -> Column:
+    """`first` and the number of sorted bounds that are not above the value, by halving; 0 of them for NULL.
+
+    Plain comparisons: Spark copies what defines a column to the other side of a join on it, and with it a lambda, whose
+    own columns that side does not have.
+    """
+    if not bounds:
+        return F.lit(first)
+    half = len(bounds) // 2
+    return F.when(value >= F.lit(bounds[half]), _bounds_below(value, bounds[half + 1 :], first + half + 1)).otherwise(
+        _bounds_below(value, bounds[:half], first)
+    )
 
 
 def split_running_sum(

@@ -8,6 +8,7 @@ from rubrica import dims
 from rubrica.functions import text as t
 from rubrica.functions.expressions import spread
 from rubrica.operators import ordering
+from rubrica.session import cut_lineage
 
 # code: (severity, reason, suggestion)
 RULES = {
@@ -98,12 +99,13 @@ def candidate_nodes(nodes: DataFrame, issues: DataFrame, first_n: int | None = N
 
     Documents without any hit need no request at all, so they give no rows.
     """
-    hit_nodes = issues.select("doc_id", "location").distinct()
+    # Places are found once; three joins read them.
+    hit_nodes = cut_lineage(issues.select("doc_id", "location").distinct())
     with_hit = nodes.join(
         hit_nodes.withColumnRenamed("location", "pointer"), ["doc_id", "pointer"], "left_semi"
     )
     named = with_hit.select("doc_id").distinct()
-    unnamed = issues.select("doc_id").distinct().join(named, "doc_id", "left_anti")
+    unnamed = hit_nodes.select("doc_id").distinct().join(named, "doc_id", "left_anti")
     rest = nodes.join(unnamed, "doc_id", "left_semi")
     if first_n is not None:
         rest = ordering.top_rows(rest, ["doc_id"], [F.col("pos")], first_n).drop("__rank")

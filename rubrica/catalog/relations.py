@@ -241,13 +241,13 @@ def cover(spark, sf) -> DataFrame:
 
 
 def texts(spark, sf) -> DataFrame:
-    """Documents as they are split for reading, or in as many partitions as the session sets for a table of few row groups.
+    """Documents, dealt out by hash: a table may be one row group, which is one task however large it is.
 
-    `rubrica.source.partitions` moves whole texts, so nothing sets it by itself; tables of many row groups need none.
+    `rubrica.source.partitions` gives the number of partitions, else the session's number for shuffles counts.
     """
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    parts = spark.conf.get("rubrica.source.partitions", None)
-    return docs.repartition(int(parts)) if parts else docs
+    parts = spark.conf.get("rubrica.source.partitions", None) or spark.conf.get("spark.sql.shuffle.partitions")
+    # By key and text, since keys may repeat or be null; with a number, as for the keys of orders.
+    return table(spark, sf, "documents").select("doc_id", "text").repartition(int(parts), "doc_id", "text")
 
 
 def nodes(spark, sf) -> DataFrame:

@@ -103,16 +103,34 @@ def count_of(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
+def char_class(chars: str) -> str:
+    """A class of lower-case letters as few ranges, for lower-cased text only: upper-case forms may lie in between.
+
+    Each single letter beyond U+00FF would be a test of its own for every character of a text.
+    """
+    allowed = lambda c: c in chars or (c != c.lower() and c.lower() in chars)
+    ranges: list[list[str]] = []
+    for c in sorted(set(chars)):
+        between = map(chr, range(ord(ranges[-1][1]) + 1, ord(c))) if ranges else ()
+        if ranges and all(map(allowed, between)):
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(first if first == last else f"{first}-{last}" for first, last in ranges) + "]"
+
+
 def accentless_text(protected: Column) -> Column:
     """Long enough, at least six plain words, and no accented letter outside the allowed phrases."""
-    phrases = "|".join(sorted(dims.WHITELIST, key=len, reverse=True))
+    phrases = sorted(dims.WHITELIST, key=len, reverse=True)
+    # Only where a phrase may begin are all of them tried.
+    allowed = f"(?=[{''.join(sorted({p[0] for p in phrases}))}])(?:{'|'.join(phrases)})"
+    letter = f"[{dims.WORD_CHARS}_]"
 
     def plain_words(lowered: Column) -> Column:
-        words = F.regexp_extract_all(lowered, F.lit(f"([{dims.WORD_CHARS}_]{{3,}})"), F.lit(1))
-        plain = F.filter(words, lambda w: w.rlike("^[a-z]+$"))
-        return ~lowered.rlike(f"[{dims.ACCENTED}]") & (F.size(plain) >= 6)
+        plain = F.regexp_count(lowered, F.lit(f"(?<!{letter})[a-z]{{3,}}+(?!{letter})"))
+        return ~lowered.rlike(char_class(dims.ACCENTED)) & (plain >= 6)
 
-    lowered = F.regexp_replace(F.lower(protected), phrases, " ")
+    lowered = F.regexp_replace(F.lower(protected), allowed, " ")
     return (F.length(protected) >= 20) & (strip(protected) != "") & bind(lowered, plain_words)
 
 

@@ -8,6 +8,7 @@ from rubrica import dims
 from rubrica.catalog import relations as rel
 from rubrica.catalog.registry import query
 from rubrica.functions import text as t, variants as v
+from rubrica.functions.expressions import kept
 from rubrica.operators import consensus, contracts, coverage, requests, rollup, rules_object, rules_plan
 
 ERROR_TYPE = "CASE rule " + " ".join(f"WHEN '{k}' THEN '{r[0]}'" for k, r in rules_plan.RULES.items()) + " END"
@@ -513,7 +514,7 @@ def structural_rows(spark, sf):
     records = rel.plan_records(spark, sf)
     cols = ["record_id", "overall_status", "coverage_status"]
     bad = contracts.structural_rows(records, rules_plan.plan_check_rollup(records)).select(*cols)
-    blank = records.filter(v.content_text(v.get(F.col("record"), "question")) == "")
+    blank = kept(records, v.content_text(v.get(F.col("record"), "question")) == "")
     return bad.unionByName(contracts.skipped_rows(blank).select(*cols))
 
 

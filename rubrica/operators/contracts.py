@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rubrica import dims
 from rubrica.functions import pointers, text as t, variants as v
+from rubrica.functions.expressions import kept
 from rubrica.functions.text import bind
 from rubrica.operators import rules_plan
 
@@ -746,7 +747,7 @@ def normalize_plan_issues(issues: DataFrame) -> DataFrame:
 def structural_rows(records: DataFrame, rollup: DataFrame) -> DataFrame:
     """Prefilled evaluations of records that no model is asked about."""
     return (
-        rollup.filter(~F.col("structural_valid"))
+        kept(rollup, ~F.col("structural_valid"))
         .join(records, "record_id")
         .select(
             "record_id",

@@ -97,8 +97,8 @@ def _join(base, *parts) -> Column:
     return F.concat(*cols)
 
 
-def block_findings(blocks: Column, base: Column, ord_: list, require_text: bool = True) -> Column:
-    """Rules G03 to G08 on a list of content blocks; a missing list has no findings."""
+def block_findings(blocks: Column, base: Column, ord_: list, require_text: bool = True, listed: Column | None = None) -> Column:
+    """Rules G03 to G08 on a list of content blocks; a missing list has no findings. `listed`: its elements, if taken out already."""
 
     def one(block: Column, i: Column) -> Column:
         here = _join(base, "/", i)
@@ -126,19 +126,29 @@ def block_findings(blocks: Column, base: Column, ord_: list, require_text: bool
             _list(_finding(F.lit(True), "G04", here, [*at, 0]))
         )
 
-    listed = v.as_array(blocks)
-    return (
-        F.when(v.absent(blocks), NOTHING())
-        .when(listed.isNull(), _list(_finding(F.lit(True), "G03", base, ord_)))
-        .otherwise(_spread(listed, one))
-    )
+    no_list = F.when(v.absent(blocks), NOTHING()).otherwise(_list(_finding(F.lit(True), "G03", base, ord_)))
+    return bind(v.as_array(blocks) if listed is None else listed, lambda found: F.when(found.isNotNull(), _spread(found, one)).otherwise(no_list))
+
+
+def _blocks_at(parent: Column, key: str, base: Column, ord_: list, require_text: bool = True) -> Column:
+    """`block_findings` of a member. Its elements are taken out in one step; the member itself only where it is no list."""
+    return block_findings(v.get(parent, key), base, ord_, require_text, _list_at(parent, key))
+
+
+def _list_at(parent: Column, key: str) -> Column:
+    return F.try_variant_get(parent, f"$['{key}']", "array<variant>")
+
+
+def _each_at(parent: Column, key: str, make, not_listed: Column) -> Column:
+    """Findings of every element of a list member; `not_listed` where the member is something else."""
+    otherwise = F.when(v.absent(v.get(parent, key)), NOTHING()).otherwise(_list(not_listed))
+    return bind(_list_at(parent, key), lambda found: F.when(found.isNotNull(), _spread(found, make)).otherwise(otherwise))
 
 
 def _solution_findings(solution: Column, i: Column) -> Column:
     here = _join("/solutions/", i)
-    content = v.get(solution, "solutionContent")
     return F.when(~v.is_object(solution), _list(_finding(F.lit(True), "G10", here, [1, i]))).otherwise(
-        block_findings(content, _join(here, "/solutionContent"), [1, i], require_text=False)
+        _blocks_at(solution, "solutionContent", _join(here, "/solutionContent"), [1, i], require_text=False)
     )
 
 
@@ -146,7 +156,7 @@ def _hint_findings(base: Column, item_pos: Column):
     def one(hint: Column, i: Column) -> Column:
         here = _join(base, "/hints/", i)
         return F.when(~v.is_object(hint), _list(_finding(F.lit(True), "G17", here, [3, item_pos, 3, i]))).otherwise(
-            block_findings(v.get(hint, "content"), _join(here, "/content"), [3, item_pos, 3, i])
+            _blocks_at(hint, "content", _join(here, "/content"), [3, item_pos, 3, i])
         )
 
     return one
@@ -195,12 +205,12 @@ def _spec_struct(spec: Column, k: Column) -> Column:
             v.first_text(spec, "type").alias("stype"),
             _named_ids(named("correctOptionId")).alias("one"),
             _named_ids(named("correctOptionIds")).alias("many"),
-            F.exists(named(*dims.BOOLEAN_KEYS), lambda n: n["kind"] == "boolean").alias("says_bool"),
+            F.exists(named(*dims.BOOLEAN_KEYS), lambda n: F.schema_of_variant(n["value"]) == "BOOLEAN").alias("says_bool"),
             F.exists(named(*dims.VALUE_KEYS), lambda n: F.lit(True)).alias("has_value"),
             _named_ids(named("slotId")).alias("slots"),
         )
 
-    return bind(v.nodes(spec), fields)
+    return bind(v.keyed(spec, "correctOptionId", "correctOptionIds", "slotId", *dims.BOOLEAN_KEYS, *dims.VALUE_KEYS), fields)
 
 
 def repeats(values: Column) -> Column:
@@ -380,14 +390,12 @@ def _repeated_places(items: Column) -> Column:
 
 
 def _document_findings(doc: Column, items: Column) -> Column:
-    instruction, solutions = v.get(doc, "instruction"), v.get(doc, "solutions")
+    instruction = v.get(doc, "instruction")
     no_items = F.size(items) == 0
     return F.concat(
         _list(_finding(v.absent(instruction), "G02", "/instruction", [0])),
-        block_findings(instruction, F.lit("/instruction"), [0]),
-        F.when(
-            ~v.absent(solutions) & ~v.is_array(solutions), _list(_finding(F.lit(True), "G09", "/solutions", [1]))
-        ).otherwise(_spread(v.elements(solutions), _solution_findings)),
+        _blocks_at(doc, "instruction", F.lit("/instruction"), [0]),
+        _each_at(doc, "solutions", _solution_findings, _finding(F.lit(True), "G09", "/solutions", [1])),
         _list(
             _finding(no_items, "G11", "/questionItems", [2, 0]),
             _finding(no_items & v.absent(instruction), "G12", "", [2, 1]),
@@ -400,17 +408,14 @@ def _item_findings(of: Column):
 
     def one(item: Column, pos: Column) -> Column:
         base = _join("/questionItems/", pos)
-        hints, stem = v.get(item, "hints"), v.get(item, "stem")
+        stem = v.get(item, "stem")
         top = F.concat(
             _list(
                 _finding(v.first_text(item, "id") == "", "G14", _join(base, "/id"), [F.lit(3), pos, F.lit(0)]),
                 _finding(v.absent(stem), "G15", _join(base, "/stem"), [F.lit(3), pos, F.lit(1)]),
             ),
-            block_findings(stem, _join(base, "/stem"), [F.lit(3), pos, F.lit(2)]),
-            F.when(
-                ~v.absent(hints) & ~v.is_array(hints),
-                _list(_finding(F.lit(True), "G16", _join(base, "/hints"), [F.lit(3), pos, F.lit(3)])),
-            ).otherwise(_spread(v.elements(hints), _hint_findings(base, pos))),
+            _blocks_at(item, "stem", _join(base, "/stem"), [F.lit(3), pos, F.lit(2)]),
+            _each_at(item, "hints", _hint_findings(base, pos), _finding(F.lit(True), "G16", _join(base, "/hints"), [F.lit(3), pos, F.lit(3)])),
         )
         short_stem = F.length(v.content_text(stem)) < MIN_ESSAY_STEM
 

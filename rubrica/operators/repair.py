@@ -35,21 +35,28 @@ def _with_key(parent: Column, key: Column, child: Column) -> Column:
 
 def _edit(parent: Column, op: Column, token: Column, value: Column) -> Column:
     """The parent after one operation on its member, NULL when the operation is not possible."""
-    listed, members, i = v.as_array(parent), v.as_map(parent), _index(token)
-    size = F.size(listed)
-    inside = (i >= 0) & (i < size)
-    known = F.map_contains_key(members, token)
-    inserted = F.concat(F.slice(listed, F.lit(1), i), F.array(value), F.slice(listed, i + 1, size))
-    in_list = (
-        F.when((op == "replace") & inside, F.transform(listed, lambda x, n: F.when(n == i, value).otherwise(x)))
-        .when((op == "remove") & inside, F.filter(listed, lambda _, n: n != i))
-        .when((op == "add") & (token == "-"), F.concat(listed, F.array(value)))
-        .when((op == "add") & (i >= 0) & (i <= size), inserted)
-    )
-    in_object = F.when((op == "add") | ((op == "replace") & known), _with_key(parent, token, value)).when(
-        (op == "remove") & known, F.map_filter(members, lambda k, _: k != token)
-    )
-    return F.when(listed.isNotNull(), F.to_variant_object(in_list)).otherwise(F.to_variant_object(in_object))
+    i = _index(token)
+
+    # Elements or members are copied out once, and only those that the parent has.
+    def in_list(listed: Column) -> Column:
+        size = F.size(listed)
+        inside = (i >= 0) & (i < size)
+        inserted = F.concat(F.slice(listed, F.lit(1), i), F.array(value), F.slice(listed, i + 1, size))
+        edited = (
+            F.when((op == "replace") & inside, F.transform(listed, lambda x, n: F.when(n == i, value).otherwise(x)))
+            .when((op == "remove") & inside, F.filter(listed, lambda _, n: n != i))
+            .when((op == "add") & (token == "-"), F.concat(listed, F.array(value)))
+            .when((op == "add") & (i >= 0) & (i <= size), inserted)
+        )
+        return F.when(listed.isNotNull(), F.to_variant_object(edited)).otherwise(bind(v.as_map(parent), in_object))
+
+    def in_object(members: Column) -> Column:
+        known = F.map_contains_key(members, token)
+        others = F.map_filter(members, lambda k, _: k != token)
+        edited = F.when((op == "add") | ((op == "replace") & known), F.map_concat(others, F.create_map(token, value))).when((op == "remove") & known, others)
+        return F.to_variant_object(edited)
+
+    return bind(v.as_array(parent), in_list)
 
 
 def apply_patch(doc: Column, patch: Column) -> Column:

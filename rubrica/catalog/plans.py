@@ -326,7 +326,7 @@ def evaluation_replies(spark, sf):
         F.lit('", "summary": "other"}]'),
     )
     body = F.concat(F.lit('{"overall_status": "bad", "coverage_status": "full", "source_to_plan_mapping": '), mapping, F.lit(', "issues": '), issue, F.lit("}"))
-    return rel.table(spark, sf, "events").select(F.col("event_id").alias("record_id"), F.try_parse_json(body).alias("reply"))
+    return rel.event_keys(spark, sf).select(F.col("event_id").alias("record_id"), F.try_parse_json(body).alias("reply"))
 
 
 @query(

@@ -324,6 +324,12 @@ def order_keys(spark, sf) -> DataFrame:
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")).repartition(parts, "k")
 
 
+def event_keys(spark, sf) -> DataFrame:
+    """The keys of events, dealt out as those of orders are."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, sf, "events").select("event_id").repartition(parts, "event_id")
+
+
 def object_json(spark, sf) -> DataFrame:
     """One JSON document per order (doc_id, k, body)."""
     orders = order_keys(spark, sf)

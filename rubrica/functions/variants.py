@@ -155,13 +155,12 @@ def options_of(interaction: Column) -> Column:
 
 
 def content_text(value: Column) -> Column:
-    """All display text of a value in reading order, joined by blanks.
+    """All display text of a value in reading order, joined by blanks; a plain value is its own text.
 
-    Every list or object is replaced in place by its members until only texts are left. The nesting of a tree is not
-    more than the brackets of its JSON nor than what the parser reads, so rounds do not grow with the number of blocks.
+    Every list or object is replaced in place by its members until only texts are left, so rounds do not grow with the number
+    of blocks.
     """
     # An entry is read once it has a text; its type must allow that from the start, so the first one has none.
-    rounds = F.least(_brackets(value), F.lit(MAX_NESTING)) + 1
     no_node, no_text = F.lit(None).cast("variant"), F.lit(None).cast("string")
 
     def entry(node: Column, text: Column) -> Column:
@@ -184,12 +183,18 @@ def content_text(value: Column) -> Column:
     def open_(entries: Column) -> Column:
         return F.exists(entries, lambda e: e["text"].isNull())
 
-    return F.aggregate(
-        F.sequence(F.lit(1), rounds),
-        F.array(entry(value, no_text)),
-        lambda entries, _: F.when(open_(entries), F.flatten(F.transform(entries, expand))).otherwise(entries),
-        lambda entries: F.array_join(F.transform(entries, lambda e: e["text"]), " "),
-    )
+    def walked(value: Column) -> Column:
+        # The nesting of a tree is not more than the brackets of its JSON nor than what the parser reads.
+        rounds = F.least(_brackets(value), F.lit(MAX_NESTING)) + 1
+        return F.aggregate(
+            F.sequence(F.lit(1), rounds),
+            F.array(entry(value, no_text)),
+            lambda entries, _: F.when(open_(entries), F.flatten(F.transform(entries, expand))).otherwise(entries),
+            lambda entries: F.array_join(F.transform(entries, lambda e: e["text"]), " "),
+        )
+
+    plain = lambda x: F.coalesce(strip(x.cast("string")), F.lit(""))
+    return bind(value, lambda x: F.when(is_object(x) | is_array(x), walked(x)).otherwise(plain(x)))
 
 
 def deep_texts(value: Column) -> Column:
